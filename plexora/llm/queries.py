@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexora.llm import leakage, mixing
+from plexora.llm import leakage, mixing, neighbours
 from plexora.tables import table
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The last full snapshot of the bundle together with the CDN, one usable vector per key."""
+    bundle = table(spark, d, "bundle_points").where(F.col("snapshot_no") == 5)
+    return neighbours.latest(bundle, "track_id", "embedding", "meta.version", 64).unionByName(
+        neighbours.latest(table(spark, d, "cdn_points"), "id", "vector", "shard", 64)
+    )
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(_vectors(spark, d)).select("id_a", "id_b")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -26,4 +38,4 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(p9_mix(spark, d), table(spark, d, "mix_targets"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_report": p9_report}
+QUERIES = {"p4_found": p4_found, "p8_found": p8_found, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_report": p9_report}
