@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexora.llm import leakage, mixing, neighbours
+from plexora.llm import encodings, leakage, mixing, neighbours
 from plexora.tables import table
 
 
@@ -38,4 +38,12 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(p9_mix(spark, d), table(spark, d, "mix_targets"))
 
 
-QUERIES = {"p4_found": p4_found, "p8_found": p8_found, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_report": p9_report}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.find_garbled(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.restore_garbled(table(spark, d, "documents"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_restored": p10_restored, "p4_found": p4_found, "p8_found": p8_found, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_report": p9_report}
