@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexora.llm import encodings, leakage, mixing, neighbours
+from plexora.llm import addresses, encodings, leakage, linkage, mixing, neighbours
 from plexora.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return addresses.same_locations(table(spark, d, "place_events"), table(spark, d, "places_raw"), table(spark, d, "localities"))
+
+
+def p3_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.hosts_of_events(table(spark, d, "place_events"), table(spark, d, "places_raw"), table(spark, d, "localities"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_confidence(spark, d).select("eventid", "place_id")
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     """The last full snapshot of the bundle together with the CDN, one usable vector per key."""
     bundle = table(spark, d, "bundle_points").where(F.col("snapshot_no") == 5)
@@ -46,4 +58,4 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encodings.restore_garbled(table(spark, d, "documents"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_restored": p10_restored, "p4_found": p4_found, "p8_found": p8_found, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_report": p9_report}
+QUERIES = {"p3_found": p3_found, "p3_confidence": p3_confidence, "p2_found": p2_found, "p10_found": p10_found, "p10_restored": p10_restored, "p4_found": p4_found, "p8_found": p8_found, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_report": p9_report}
