@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 
 from pyspark.sql import SparkSession
@@ -38,3 +39,24 @@ def local_spark(cpus: int | None = None, **conf: str) -> SparkSession:
         "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     }
     return get_spark(master=f"local[{n}]", **{**base, **conf})
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context, so that Python workers can import it wherever they run."""
+    import shutil
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_plexora_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="plexora-package-")
+    target = os.path.join(folder, "plexora.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path("plexora") / p.relative_to(root))
+    sc.addPyFile(target)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc._plexora_shipped = True
