@@ -53,44 +53,78 @@ def place_level(metres: float | None) -> int:
 
 @dataclass
 class Linkage:
-    """m and u: probabilities of each level of each comparison among matches and non-matches; p: share of matches."""
+    """Three latent kinds of pairs: the same entity; two entities at one place; two entities at different places.
 
-    p: float
-    m: list[np.ndarray]
-    u: list[np.ndarray]
+    shares: of the kinds. name: level probabilities of names for each kind. agree, differ: those of address and position,
+    for the first two kinds and for the third, so that firms under one roof aren't taken for one another.
+    """
 
-    def log_odds(self, pattern: tuple[int, ...]) -> float:
-        out = np.log(self.p) - np.log1p(-self.p)
+    shares: np.ndarray
+    name: list[np.ndarray]
+    agree: list[np.ndarray]
+    differ: list[np.ndarray]
+
+    def kinds(self, pattern: tuple[int, ...]) -> np.ndarray:
+        """Log-likelihood, with the share, of each kind; a missing value (-1) speaks neither for nor against."""
+        out = np.log(self.shares)
         for k, v in enumerate(pattern):
-            if v >= 0:  # a missing value speaks neither for nor against
-                out += np.log(self.m[k][v]) - np.log(self.u[k][v])
-        return float(out)
+            if v >= 0 and k == 0:
+                out = out + np.log([n[v] for n in self.name])
+            elif v >= 0:
+                a, d = np.log(self.agree[k - 1][v]), np.log(self.differ[k - 1][v])
+                out = out + np.array([a, a, d])
+        return out
+
+    def log_odds(self, pattern: tuple[int, ...]) -> float:
+        k = self.kinds(pattern)
+        return float(k[0] - np.logaddexp(k[1], k[2]))
 
 
-def expectation_maximisation(patterns: dict[tuple[int, ...], float], levels: tuple[int, ...] = LEVELS, rounds: int = 200) -> Linkage:
-    """Fits match and non-match probabilities to counts of level patterns; levels rise with agreement."""
-    start = [np.linspace(0.2, 1.0, n) ** 4 for n in levels]
-    m = [s / s.sum() for s in start]
-    u = [s[::-1] / s.sum() for s in start]
-    p = 0.1
+def expectation_maximisation(patterns: dict[tuple[int, ...], float], levels: tuple[int, ...] = LEVELS, rounds: int = 300) -> Linkage:
+    """Fits the kinds' shares and level probabilities to counts of level patterns; levels rise with agreement."""
+    rise = [np.linspace(0.15, 1.0, n) ** 5 for n in levels]
+    up, down = [s / s.sum() for s in rise], [s[::-1] / s.sum() for s in rise]
+    model = Linkage(np.array([0.1, 0.1, 0.8]), [_held(up[0], RENAMED), _held(down[0], NAMESAKES), down[0]], up[1:], down[1:])
     keys = list(patterns)
     n = np.array([patterns[k] for k in keys], float)
     if not keys or n.sum() == 0:
-        return Linkage(p, m, u)
+        return model
     for _ in range(rounds):
-        g = np.array([1 / (1 + np.exp(-np.clip(Linkage(p, m, u).log_odds(k), -500, 500))) for k in keys])
-        old = p
-        p = float(np.clip((g * n).sum() / n.sum(), 1e-6, 0.5))
-        for k, size in enumerate(levels):
-            a, b = np.full(size, 1e-2), np.full(size, 1e-2)
-            for i, key in enumerate(keys):
-                if key[k] >= 0:
-                    a[key[k]] += g[i] * n[i]
-                    b[key[k]] += (1 - g[i]) * n[i]
-            m[k], u[k] = a / a.sum(), b / b.sum()
-        if abs(old - p) < 1e-9:
+        ll = np.array([model.kinds(k) for k in keys])
+        g = np.exp(ll - ll.max(1, keepdims=True))
+        g /= g.sum(1, keepdims=True)
+        shares = np.maximum((g * n[:, None]).sum(0), 1e-3)
+        near = g[:, 0] + g[:, 1]
+        names = [_levels(keys, 0, levels[0], g[:, kind] * n) for kind in range(3)]
+        agree = [_levels(keys, k, levels[k], near * n) for k in range(1, len(levels))]
+        differ = [_levels(keys, k, levels[k], g[:, 2] * n) for k in range(1, len(levels))]
+        old, model = model, Linkage(shares / shares.sum(), [_held(names[0], RENAMED), _held(names[1], NAMESAKES), names[2]], agree, differ)
+        if np.abs(old.shares - model.shares).max() < 1e-10:
             break
-    return Linkage(p, m, u)
+    return model
+
+
+def _levels(keys: list[tuple[int, ...]], k: int, size: int, weight: np.ndarray) -> np.ndarray:
+    """Level probabilities of one comparison; half a pair per level as prior knowledge, so that no level is impossible."""
+    a = np.full(size, 0.5)
+    for i, key in enumerate(keys):
+        if key[k] >= 0:
+            a[key[k]] += weight[i]
+    return a / a.sum()
+
+
+#: Prior knowledge, most probability of a level: of the names of one entity in two sources ("other", "one word"), and of
+#: the names of two entities at one place ("start only", "misspelt", "equal").
+RENAMED = {0: 0.001, 1: 0.004}
+NAMESAKES = {2: 0.02, 3: 0.004, 4: 0.004}
+
+
+def _held(p: np.ndarray, most: dict[int, float]) -> np.ndarray:
+    """Level probabilities held to prior knowledge."""
+    p = p.copy()
+    for i, v in most.items():
+        p[i] = min(p[i], v)
+    return p / p.sum()
 
 
 def _pair_levels(pairs: DataFrame) -> DataFrame:

@@ -11,9 +11,9 @@ from plexora.llm.addresses import damerau
 EMPTY_WORDS = frozenset("the a an llc inc ltd co corp gmbh plc llp company".split())
 #: Different ways to write a kind of business, longest first.
 SAME_KIND = (
-    ("bar and grill", "grill"), ("bowling alley", "bowling lanes"), ("supperclub", "supper club"), ("comm ctr", "community center"),
+    ("bar and grill", "grill"), ("alley", "lanes"), ("supperclub", "supper club"), ("comm ctr", "community center"),
     ("community ctr", "community center"), ("comm center", "community center"), ("community centre", "community center"),
-    ("brew co", "brewing"), ("brewing co", "brewing"), ("brewing company", "brewing"), ("brewery", "brewing"), ("bakehouse", "bakery"),
+    ("brew co", "brewing"), ("brewing co", "brewing"), ("brewing company", "brewing"), ("brewery", "brewing"), ("brew company", "brewing"), ("brew", "brewing"), ("bakehouse", "bakery"),
     ("book shop", "bookshop"), ("bookstore", "bookshop"), ("coffee house", "coffee"), ("tap room", "taproom"), ("road house", "roadhouse"),
     ("tav", "tavern"), ("rstrnt", "restaurant"), ("ctr", "center"), ("centre", "center"),
 )
