@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plexora.plans import problems, problems_sql
+from plexora.plans import catalog, problems, problems_sql
 
-FLAGSHIP = "p7_report"
+FLAGSHIP = "agg_group_measures"
 
-_MODULES = [(problems.QUERIES, problems_sql.SQL)]
+_MODULES = [(catalog.QUERIES, catalog.SQL), (problems.QUERIES, problems_sql.SQL)]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
