@@ -28,21 +28,31 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(z, F.lit(0.0), lambda s, x: s + x))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once per row; inside a lambda it would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit(a: Column) -> Column:
     """The vector at length one; a zero vector stays as it is."""
     d = a.cast("array<double>")
-    n = F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x)
-    n = F.when(n == 0, F.lit(1.0)).otherwise(F.sqrt(n))
-    return F.transform(d, lambda x: x / n)
+    n = F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
+    s = F.struct(d.alias("d"), F.when(n == 0, F.lit(1.0)).otherwise(n).alias("n"))
+    return let(s, lambda v: F.transform(v["d"], lambda x: x / v["n"]))
 
 
-def matryoshka(a: Column, dim: int) -> Column:
-    """Layer norm over the full width (population variance + 1e-5), the first `dim` numbers, at length one."""
+def layer_norm(a: Column) -> Column:
+    """The vector less its mean, over the root of its population variance + 1e-5."""
     d = a.cast("array<double>")
-    size = F.size(d).cast("double")
-    mean = F.aggregate(d, F.lit(0.0), lambda s, x: s + x) / size
-    var = F.aggregate(F.transform(d, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda s, x: s + x) / size
-    return unit(F.slice(F.transform(d, lambda x: (x - mean) / F.sqrt(var + 1e-5)), 1, dim))
+    sums = F.aggregate(d, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda t, x: F.struct((t["s"] + x).alias("s"), (t["q"] + x * x).alias("q")))
+    n = F.size(d).cast("double")
+    stat = let(sums, lambda t: F.struct((t["s"] / n).alias("m"), F.sqrt(F.greatest(F.lit(0.0), t["q"] / n - (t["s"] / n) * (t["s"] / n)) + 1e-5).alias("sd")))
+    return let(F.struct(d.alias("d"), stat.alias("t")), lambda v: F.transform(v["d"], lambda x: (x - v["t"]["m"]) / v["t"]["sd"]))
+
+
+def matryoshka(a: Column, dim: int) -> Column:
+    """Layer norm over the full width, the first `dim` numbers, at length one."""
+    return unit(F.slice(layer_norm(a), 1, dim))
 
 
 def literal(v: Sequence[float]) -> Column:

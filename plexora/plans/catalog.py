@@ -131,11 +131,12 @@ def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
     src = table(spark, d, "events")
     at = f"{shared_dir(spark)}/plexora-stream/{uuid.uuid4().hex}"
     stream = spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     out = windowed_counts(stream, "ts", "event_type", "1 hour", "10 minutes")
     write = lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out")
     run = out.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{at}/out")
+    return spark.read.parquet(f"{at}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 # -- semantic axis ----------------------------------------------------------------------------------------------------
@@ -189,25 +190,22 @@ def centroid_by_label(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("label", "pos").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
-@q("SELECT vec_id AS id, round(list_dot_product(v[1:16], v[1:16]), 4) AS sq, round(v[1] / sqrt(list_dot_product(v[1:16], v[1:16])), 5) AS first FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), x -> (x - list_avg(CAST(embedding AS DOUBLE[]))) / sqrt(list_var_pop(CAST(embedding AS DOUBLE[])) + 1e-5)) AS v FROM embeddings)")
+@q("SELECT vec_id AS id, round(list_dot_product(v[1:16], v[1:16]), 4) AS sq, round(v[1] / sqrt(list_dot_product(v[1:16], v[1:16])), 5) AS first FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: (x - list_avg(CAST(embedding AS DOUBLE[]))) / sqrt(list_var_pop(CAST(embedding AS DOUBLE[])) + 1e-5)) AS v FROM embeddings)")
 def matryoshka_rows(spark: SparkSession, d: str) -> DataFrame:
     """Layer norm, cut, length one; shown by its first number, and the length before it."""
-    e = _points(spark, d)
-    v = F.col("embedding").cast("array<double>")
-    mean = F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / 64
-    var = F.aggregate(F.transform(v, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda s, x: s + x) / 64
-    raw = F.slice(F.transform(v, lambda x: (x - mean) / F.sqrt(var + 1e-5)), 1, 16)
+    e = _points(spark, d).withColumn("raw", F.slice(V.layer_norm(F.col("embedding")), 1, 16))
+    raw = F.col("raw")
     return e.select("id", F.round(V.dot(raw, raw), 4).alias("sq"), F.round(F.get(V.matryoshka(F.col("embedding"), 16), F.lit(0)), 5).alias("first"))
 
 
-@q("SELECT p_partkey AS id, p_name AS title, p_brand AS subtitle, CASE WHEN lower(p_brand) = 'brand#2' THEN 1000 WHEN starts_with(lower(p_brand), 'brand#2') THEN 400 WHEN contains(lower(p_brand), 'brand#2') THEN 220 ELSE 0 END + CASE WHEN lower(p_name) = 'brand#2' THEN 350 WHEN starts_with(lower(p_name), 'brand#2') THEN 160 WHEN contains(lower(p_name), 'brand#2') THEN 120 ELSE 0 END + 60.0 * (CASE WHEN contains(lower(p_brand) || ' ' || lower(p_name), 'brand#2') THEN 1 ELSE 0 END) + 12.0 * (CASE WHEN contains(lower(p_type), 'brand#2') THEN 1 ELSE 0 END) AS score FROM part WHERE contains(lower(p_brand || ' ' || p_name || p_type), 'brand#2') ORDER BY score DESC, lower(p_brand), lower(p_name), p_partkey LIMIT 25")
+@q("SELECT p_partkey AS id, p_name AS title, p_brand AS subtitle, CAST(CASE WHEN lower(p_brand) = 'brand#2' THEN 1000 WHEN starts_with(lower(p_brand), 'brand#2') THEN 400 WHEN contains(lower(p_brand), 'brand#2') THEN 220 ELSE 0 END + CASE WHEN lower(p_name) = 'brand#2' THEN 350 WHEN starts_with(lower(p_name), 'brand#2') THEN 160 WHEN contains(lower(p_name), 'brand#2') THEN 120 ELSE 0 END + 60.0 * (CASE WHEN contains(lower(p_brand) || ' ' || lower(p_name), 'brand#2') THEN 1 ELSE 0 END) + 12.0 * (CASE WHEN contains(lower(p_type), 'brand#2') THEN 1 ELSE 0 END) AS DOUBLE) AS score FROM part WHERE contains(lower(p_brand || ' ' || p_name || p_type), 'brand#2') ORDER BY score DESC, lower(p_brand), lower(p_name), p_partkey LIMIT 25")
 def lexical_rank(spark: SparkSession, d: str) -> DataFrame:
     """W6, D5."""
     p = table(spark, d, "part").withColumnRenamed("p_partkey", "id")
     return search.lexical_rank(p, "Brand#2", 25, "p_name", "p_brand", "p_type")
 
 
-@q("SELECT p_partkey AS id, (CASE WHEN lower(p_name) = 'small ring' THEN 100 WHEN starts_with(lower(p_name), 'small ring') THEN 50 WHEN contains(lower(p_name), 'small ring') THEN 25 ELSE 0 END + CASE WHEN contains(lower(p_type), 'small ring') THEN 10 ELSE 0 END) / 100.0 AS score FROM part WHERE contains(lower(p_name), 'small ring') OR contains(lower(p_type), 'small ring')")
+@q("SELECT p_partkey AS id, (CASE WHEN lower(p_name) = 'small ring' THEN 100 WHEN starts_with(lower(p_name), 'small ring') THEN 50 WHEN contains(lower(p_name), 'small ring') THEN 25 ELSE 0 END + CASE WHEN contains(lower(p_type), 'small ring') THEN 10 ELSE 0 END) / CAST(100 AS DOUBLE) AS score FROM part WHERE contains(lower(p_name), 'small ring') OR contains(lower(p_type), 'small ring')")
 def title_rank(spark: SparkSession, d: str) -> DataFrame:
     """W7."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), search.title_score("Small Ring", F.col("p_name"), [F.col("p_type")]).alias("score"))
@@ -410,7 +408,7 @@ def tree_diff(spark: SparkSession, d: str) -> DataFrame:
     return sets.tree_diff(tree(4), tree(5))
 
 
-@q("WITH o AS (SELECT place_id, min_by(query, fetched_at) AS query, bool_or(is_anchor) AS is_anchor, max(fetched_at) AS fetched_at FROM places_raw GROUP BY place_id) SELECT place_id, query, is_anchor FROM o WHERE place_id IS NOT NULL")
+@q("WITH o AS (SELECT place_id, min_by(query, fetched_at) AS query, bool_or(is_anchor) AS is_anchor, max(fetched_at) AS fetched_at FROM places_raw GROUP BY place_id) SELECT place_id, query, coalesce(is_anchor, false) AS is_anchor FROM o WHERE place_id IS NOT NULL")
 def sticky_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The first query stays, an anchor stays an anchor."""
     p = table(spark, d, "places_raw").where("place_id IS NOT NULL")
@@ -556,7 +554,7 @@ SELECT k AS symbol, n AS sample_size, round(greatest(0, least(1, 1 - net / gross
 def _transfers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(
         F.col("event_type").alias("symbol"), "value", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("src"),
-        F.concat(F.lit("u"), (F.col("event_id") % 50).cast("string")).alias("dst"), (F.unix_millis("ts") / 1000).alias("ts"), F.col("event_id").alias("id"),
+        F.concat(F.lit("u"), (F.col("event_id") % 50).cast("string")).alias("dst"), (F.unix_millis(F.col("ts").cast("timestamp")) / 1000).alias("ts"), F.col("event_id").alias("id"),
     )
 
 
@@ -576,7 +574,7 @@ def interarrival_cv(spark: SparkSession, d: str) -> DataFrame:
 @q("SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN a < 3600 THEN '<1h' WHEN a < 86400 THEN '1-24h' WHEN a < 604800 THEN '1-7d' ELSE '>7d' END AS bucket FROM (SELECT 1706745600 - CAST(floor(epoch_ms(ts) / 1000.0) AS BIGINT) AS a FROM events)) GROUP BY bucket")
 def age_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Ages against a given clock."""
-    e = table(spark, d, "events").select(flow.age_bucket(1706745600, F.unix_seconds("ts")).alias("bucket"))
+    e = table(spark, d, "events").select(flow.age_bucket(1706745600, F.unix_seconds(F.col("ts").cast("timestamp"))).alias("bucket"))
     return e.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -38,7 +38,7 @@ def _read(path: str) -> bytes | None:
     f, p = _open(path)
     if f.get_file_info(p).type == afs.FileType.NotFound:
         return None
-    with f.open_input_stream(p) as s:
+    with f.open_input_stream(p, compression=None) as s:
         return s.read()
 
 
@@ -46,7 +46,7 @@ def _write(path: str, data: bytes) -> None:
     """Writes aside and moves into place, so that readers never see half a file."""
     f, p = _open(path)
     f.create_dir(p.rsplit("/", 1)[0], recursive=True)
-    with f.open_output_stream(p + ".tmp") as s:
+    with f.open_output_stream(p + ".tmp", compression=None) as s:
         s.write(data)
     f.move(p + ".tmp", p)
 
