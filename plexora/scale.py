@@ -49,10 +49,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    if path.startswith("file:"):
-        local = path[len("file:"):]
-        local = "/" + local.lstrip("/")
-        atexit.register(lambda: __import__("shutil").rmtree(local, ignore_errors=True) if os.path.isdir(local) else None)
+    """Leaves the removal to the folder's own file system, when the driver's JVM ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
 def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
