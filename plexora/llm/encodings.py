@@ -116,6 +116,11 @@ def odd_words(text: str) -> list[str]:
     return [] if text.isascii() else [w for w in _SPACE.split(text) if not w.isascii()]
 
 
+def _codes(word: str) -> tuple[int, ...]:
+    """Code points with all digits as one, and the end of the word."""
+    return (*(48 if 48 <= o <= 57 else o for o in map(ord, word)), 3)
+
+
 def _slots(a: int, b: int, c: int) -> tuple[int, int, int]:
     return c % BUCKETS, (b * 131071 + c * 8191) % BUCKETS, (a * 1299709 + b * 131071 + c * 8191) % BUCKETS
 
@@ -128,15 +133,16 @@ class CharModel:
     two: dict[int, float]
     three: dict[int, float]
     after: dict[int, float]
+    after_two: dict[int, float]
     total: float
 
     def loglik(self, word: str) -> float:
         a, b, out = 2, 2, 0.0
-        for ch in (*map(ord, word), 3):
+        for ch in _codes(word):
             s1, s2, s3 = _slots(a, b, ch)
             p1 = (self.one.get(s1, 0.0) + 0.05) / (self.total + 500)
             p2 = (self.two.get(s2, 0.0) + 3 * p1) / (self.after.get(b % BUCKETS, 0.0) + 3)
-            p3 = (self.three.get(s3, 0.0) + 3 * p2) / (self.two.get(_slots(0, a, b)[1], 0.0) + 3)
+            p3 = (self.three.get(s3, 0.0) + 3 * p2) / (self.after_two.get(_slots(0, a, b)[1], 0.0) + 3)
             out += math.log(p3)
             a, b = b, ch
         return out
@@ -144,16 +150,16 @@ class CharModel:
 
 def _count(word: str, n: float, acc: dict[tuple[int, int], float]) -> None:
     a, b = 2, 2
-    for ch in (*map(ord, word), 3):
+    for ch in _codes(word):
         s1, s2, s3 = _slots(a, b, ch)
-        for k in ((1, s1), (2, s2), (3, s3), (4, b % BUCKETS)):
+        for k in ((1, s1), (2, s2), (3, s3), (4, b % BUCKETS), (5, _slots(0, a, b)[1])):
             acc[k] = acc.get(k, 0.0) + n
         a, b = b, ch
 
 
 def _collect_model(counts: DataFrame) -> CharModel:
-    """At most 4 * BUCKETS numbers."""
-    parts: list[dict[int, float]] = [{}, {}, {}, {}]
+    """At most 5 * BUCKETS numbers."""
+    parts: list[dict[int, float]] = [{}, {}, {}, {}, {}]
     pdf = counts.groupBy("o", "slot").agg(F.sum("n").alias("n")).toPandas()
     for o, s, n in zip(pdf["o"].tolist(), pdf["slot"].tolist(), pdf["n"].tolist()):
         parts[o - 1][s] = n
@@ -212,7 +218,8 @@ def _first_model(docs: DataFrame, text: str) -> CharModel:
     def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: dict[str, int] = {}
         acc: dict[tuple[int, int], float] = {}
-        utf = [s for s, (w, _) in enumerate(STEPS) if w == "utf-8"]
+        # Cyrillic words can happen to be UTF-8 in the Cyrillic DOS and KOI8 encodings, so these don't speak against a word
+        utf = [s for s, (w, r) in enumerate(STEPS) if w == "utf-8" and r not in ("cp866", "koi8_r")]
         ok: dict[str, bool] = {}
         for pdf in it:
             for t in pdf[text]:
@@ -221,7 +228,8 @@ def _first_model(docs: DataFrame, text: str) -> CharModel:
             if len(words) > 100_000:
                 _flush(words, ok, utf, acc)
         _flush(words, ok, utf, acc)
-        yield _counts_frame(acc)
+        if acc:
+            yield _counts_frame(acc)
 
     return _collect_model(docs.select(text).mapInPandas(work, "o int, slot int, n double"))
 
@@ -237,8 +245,9 @@ def _counts_frame(acc: dict[tuple[int, int], float]) -> pd.DataFrame:
     return pd.DataFrame({"o": [k[0] for k in acc], "slot": [k[1] for k in acc], "n": list(acc.values())})
 
 
-#: Prior of each chain before anything is known, and what its gain must exceed to be kept as evidence.
-FIRST_PRIOR, LEAST_GAIN = 1e-4, 2.0
+#: Prior of each chain before anything is known, the most that pooling may raise it to, and what a passage must gain in
+#: log-likelihood, less the cost of naming its place, to count as evidence at all: e^10 to 1 for having been garbled.
+FIRST_PRIOR, MOST_PRIOR, LEAST_GAIN = 1e-4, 0.3, 10.0
 
 
 def _clean_model(docs: DataFrame, text: str, model: CharModel) -> CharModel:
@@ -254,7 +263,7 @@ def _clean_model(docs: DataFrame, text: str, model: CharModel) -> CharModel:
                 ws = odd_words(t)
                 gone: set[int] = set()
                 for g, a, b in judge.record(ws).values():
-                    if g + math.log(FIRST_PRIOR) > 0:
+                    if g - math.log(len(ws)) > LEAST_GAIN:
                         gone.update(range(a, b + 1))
                 for i, w in enumerate(ws):
                     if i not in gone and "�" not in w:
@@ -265,7 +274,8 @@ def _clean_model(docs: DataFrame, text: str, model: CharModel) -> CharModel:
                 words.clear()
         for w, n in words.items():
             _count(w, n, acc)
-        yield _counts_frame(acc)
+        if acc:
+            yield _counts_frame(acc)
 
     return _collect_model(docs.select(text).mapInPandas(work, "o int, slot int, n double"))
 
@@ -281,7 +291,7 @@ def _evidence(docs: DataFrame, doc: str, text: str, source: str, model: CharMode
             rows = []
             for d, s, t in zip(pdf["doc"], pdf["source"], pdf["text"]):
                 ws = odd_words(t)
-                ev = sorted(((g[0], _chain_key(c)) for c, g in judge.record(ws).items() if g[0] > LEAST_GAIN), reverse=True)[:40]
+                ev = sorted(((g[0], _chain_key(c)) for c, g in judge.record(ws).items() if g[0] - math.log(len(ws)) > LEAST_GAIN), reverse=True)[:40]
                 lost = "�" in t
                 if ev or lost:
                     rows.append((d, s, len(ws), lost, [{"chain": c, "gain": g} for g, c in ev]))
@@ -328,7 +338,7 @@ def estimate_priors(ev: DataFrame, sizes: DataFrame, rounds: int = 4) -> DataFra
         out = []
         for r in rows:
             back = (pooled[r["chain"]] + 1e-3) / (n_all + 1)
-            out.append((r["source"], r["chain"], math.log((r["m"] + 20 * back) / ((r["n"] or 1) + 20))))
+            out.append((r["source"], r["chain"], math.log(min(MOST_PRIOR, (r["m"] + 20 * back) / ((r["n"] or 1) + 20)))))
         pri = ev.sparkSession.createDataFrame(out, "source string, chain string, lp double")
     return pri if pri is not None else ev.sparkSession.createDataFrame([], "source string, chain string, lp double")
 
@@ -367,8 +377,9 @@ def restore(text: str, judge: Judge, prior, least: float = 0.0, rounds: int = 4)
         odd = [i for i, w in enumerate(parts) if not w.isascii()]
         best = None
         for c, (g, a, b) in judge.record([parts[i] for i in odd]).items():
-            v = g + prior(_chain_key(c)) - math.log(len(odd))
-            if v > least and (best is None or v > best[0]):
+            net = g - math.log(len(odd))
+            v = net + prior(_chain_key(c))
+            if net > LEAST_GAIN and v > least and (best is None or v > best[0]):
                 best = (v, c, a, b)
         if best is None:
             break

@@ -102,10 +102,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = 13, doc: str = "doc_i
     documents that are there twice.
     """
     pairs = _collect_items(items, item, text, n)
-    types = {f.name: f.dataType.simpleString() for f in [*docs.schema.fields, *items.schema.fields]}
     out = f"`{doc}` {docs.schema[doc].dataType.simpleString()}, `{item}` {items.schema[item].dataType.simpleString()}"
     base = docs.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(doc, text)
-    del types
     if pairs is None:
         return _find_by_shuffle(base, items, n, doc, item, text)
     grams = docs.sparkSession.sparkContext.broadcast(TestGrams(pairs, n))
@@ -118,7 +116,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = 13, doc: str = "doc_i
                 for x in {x for _, xs in g.hits(words(t)) for x in xs}:
                     ids.append(d)
                     its.append(x)
-            yield pd.DataFrame({doc: ids, item: its})
+            if ids:  # an empty column has no type
+                yield pd.DataFrame({doc: ids, item: its})
 
     return base.mapInPandas(scan, out).distinct()
 
@@ -128,10 +127,15 @@ def _gram_rows(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
 
     def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            for k, t in zip(pdf[key], pdf[text]):
+            keys: list = []
+            grams: list[str] = []
+            for k, t in zip(pdf[key].tolist(), pdf[text].tolist()):
                 w = words(t)
                 g = {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
-                yield pd.DataFrame({key: [k] * len(g), "gram": list(g)})
+                keys += [k] * len(g)
+                grams += g
+            if keys:  # an empty column has no type
+                yield pd.DataFrame({"k": keys, "gram": grams}).rename(columns={"k": key})
 
     return df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).mapInPandas(cut, f"`{key}` {kind}, gram string")
 

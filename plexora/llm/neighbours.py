@@ -164,9 +164,8 @@ def _unit_bytes(collection: DataFrame) -> DataFrame:
             if not len(pdf):
                 continue
             x = _unit(pdf["vec"].tolist())
-            # copies in the same direction are told by the rounded unit vector
-            key = np.round(x, 6) + np.float32(0)
-            same = [hashlib.blake2b(v.tobytes(), digest_size=16).hexdigest() for v in key]
+            # copies, also those at another length that is a power of two, have the same unit vector
+            same = [hashlib.blake2b((v + np.float32(0)).tobytes(), digest_size=16).hexdigest() for v in x]
             yield pd.DataFrame({"id": pdf["id"], "vec": [v.tobytes() for v in x], "same": same})
 
     return collection.mapInPandas(work, "id string, vec binary, same string")
