@@ -38,7 +38,7 @@ STEPS: tuple[tuple[str, str], ...] = (
 MAX_STEPS = 3
 #: Hash buckets per order of the character model; so its size doesn't depend on the corpus.
 BUCKETS = 1 << 18
-#: Log-likelihood of a word that a chain can't have produced.
+#: Gain of a word that a chain can't have produced, and the least gain of any word.
 CANNOT = -12.0
 _SPACE = re.compile(r"[ \t\r\n]+")
 _CODEC: dict[str, tuple[str, object]] = {}
@@ -185,10 +185,11 @@ class Judge:
                 for c, u in cands.items():
                     if u not in done:
                         done[u] = self.model.loglik(u) - own
-                    g[c] = done[u]
+                    if done[u] > CANNOT:  # a chain that explains the word worse than that is as good as impossible
+                        g[c] = done[u]
             else:
                 g = {}
-            if len(self.seen) > 200_000:
+            if len(self.seen) > 100_000:
                 self.seen.clear()
             self.seen[w] = g
         return g

@@ -27,7 +27,7 @@ ADDRESS_LEVELS = ("other town", "same town", "same number", "same house", "same
 PLACE_LEVELS = ("far", "2 km", "300 m", "80 m")
 LEVELS = (len(NAME_LEVELS), len(ADDRESS_LEVELS), len(PLACE_LEVELS))
 #: Candidates by distance lie at most so far apart, in metres.
-NEAR_M = 150.0
+NEAR_M = 100.0
 
 
 def address_level(a: tuple[str, ...], b: tuple[str, ...]) -> int:
