@@ -64,7 +64,25 @@ ON (e.xa <= mb.lon) <> (e.xb <= mb.lon) AND e.ya + (e.yb - e.ya) * (mb.lon - e.x
 GROUP BY mb.id, e.localityid HAVING count(*) % 2 = 1
 """
 
+# a document as the sorted list of its paths and values: numbers by value, texts unescaped, keys without a value left out
+_P1 = """
+WITH one AS (SELECT snapshot_no AS no, track_id AS id, arg_max(fields, meta.version) AS f FROM bundle_points WHERE track_id IS NOT NULL AND snapshot_no IS NOT NULL GROUP BY ALL
+), leaves AS (
+  SELECT o.no, o.id, t.fullkey || CASE WHEN t.type = 'VARCHAR' THEN '=s' || json_extract_string(t.atom, '$') WHEN t.type IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN '=n' || CAST(CAST(t.atom AS DOUBLE) AS VARCHAR)
+    WHEN t.type IN ('OBJECT', 'ARRAY') THEN ':' || t.type ELSE '=' || CAST(t.atom AS VARCHAR) END AS leaf
+  FROM one o, json_tree(o.f) t WHERE t.type <> 'NULL'
+), flat AS (SELECT no, id, list(leaf ORDER BY leaf) AS c FROM leaves GROUP BY no, id
+), nos AS (SELECT no, lead(no) OVER (ORDER BY no) AS next FROM (SELECT DISTINCT no FROM one)
+), before AS (SELECT nos.next AS no, id, c FROM flat JOIN nos USING (no) WHERE nos.next IS NOT NULL
+), now AS (SELECT * FROM flat WHERE no > (SELECT min(no) FROM one)
+), changes AS (
+  SELECT coalesce(n.no, b.no) AS snapshot_no, coalesce(n.id, b.id) AS track_id, CASE WHEN b.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' ELSE 'changed' END AS change
+  FROM now n FULL JOIN before b ON n.no = b.no AND n.id = b.id WHERE b.id IS NULL OR n.id IS NULL OR n.c <> b.c)
+"""
+
 SQL = {
+    "p1_found": _P1 + "SELECT * FROM changes",
+    "p1_counts": _P1 + "SELECT snapshot_no, change, count(*) AS n FROM changes GROUP BY ALL",
     "p6_found": _P6,
     "p7_found": _P7 + "SELECT DISTINCT tablename, recordid, fieldname, kind FROM judged WHERE kind IS NOT NULL",
     "p7_report": _P7
