@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexora.scale import salted_join
+from plexora.scale import salted_join, stage
 
 #: Words that stand for "nothing" in a key column.
 FILLERS = ("", "-", "--", "n/a", "na", "nan", "nil", "none", "null", "unknown", "undefined", "tbd", "tba", "?", ".")
@@ -88,7 +88,7 @@ def broken_references(referrers: Sequence[Referrer], parents: Sequence[Parent],
     records refer to are split over tasks by salt. Null, blank and filler references refer to nothing. Repeated rows give
     one row. Records without a key are left out; an arrival that is null is neither early nor late.
     """
-    refs = references(referrers)
+    refs = stage(references(referrers), "references")  # read to find heavy keys, and joined
     joined = salted_join(refs, parent_intervals(parents, tombstones).withColumn("held", F.lit(True)), "ref", "left", ("recordid", "fieldname"))
     kind = (
         F.when(F.col("held").isNull(), "missing")
