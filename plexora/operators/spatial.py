@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexora.functions.geo import cube_cell, cube_cells_near, haversine_m, latlon
-from plexora.scale import HEAVY_ROWS, _lookup, _salts, broadcast_if_small, heavy_keys
+from plexora.scale import HEAVY_ROWS, _lookup, _salts, broadcast_if_small, heavy_keys, stage
 
 
 def located(df: DataFrame, key: str, coordinates: str = "coordinates") -> DataFrame:
@@ -128,7 +128,7 @@ def containing_regions(points: DataFrame, regions: DataFrame, key: str, boundary
 
 def near_and_inside(events: DataFrame, music: DataFrame, localities: DataFrame, radius_m: float = 150.0) -> DataFrame:
     """kind, id_a, id_b: events near music places, and the locality that contains a music place; each row once."""
-    ev, mb = located(events, "eventid"), located(music, "mbid")
+    ev, mb = stage(located(events, "eventid"), "points"), stage(located(music, "mbid"), "points")  # each is read twice
     near = near_pairs(ev, mb, radius_m).select(
         F.lit("near").alias("kind"), F.least("id_l", "id_r").alias("id_a"), F.greatest("id_l", "id_r").alias("id_b")
     )
