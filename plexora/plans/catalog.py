@@ -333,6 +333,13 @@ def rownum_neighbor_cap(spark: SparkSession, d: str) -> DataFrame:
     return graph.capped_neighbors(e, table(spark, d, "supplier").where("s_suppkey <= 20").select(F.col("s_suppkey").alias("id")), 5)
 
 
+@q("SELECT src, dst, rn FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS rn FROM (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier))) WHERE rn <= 5")
+def neighbor_cap_all(spark: SparkSession, d: str) -> DataFrame:
+    """rownum_neighbor_cap with every supplier as a seed."""
+    e = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return graph.capped_neighbors(e, table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), 5)
+
+
 @q("WITH seeds AS (SELECT id FROM (SELECT c_custkey AS id, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) WHERE rn <= 4), near AS (SELECT dst AS id FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS rn FROM (SELECT DISTINCT o_custkey AS src, 1000000 + o_orderkey AS dst FROM orders WHERE o_custkey IN (SELECT id FROM seeds))) WHERE rn <= 3) SELECT id, bool_or(s) AS is_seed FROM (SELECT id, true AS s FROM seeds UNION ALL SELECT id, false FROM near) GROUP BY id")
 def subgraph(spark: SparkSession, d: str) -> DataFrame:
     """Seeds by score and their first neighbours."""
