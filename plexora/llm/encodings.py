@@ -247,25 +247,44 @@ def _counts_frame(acc: dict[tuple[int, int], float]) -> pd.DataFrame:
 
 
 #: Prior of each chain before anything is known, the most that pooling may raise it to, and what a passage must gain in
-#: log-likelihood, less the cost of naming its place, to count as evidence at all: e^10 to 1 for having been garbled.
-FIRST_PRIOR, MOST_PRIOR, LEAST_GAIN = 1e-4, 0.3, 10.0
+#: log-likelihood to be handed on as evidence: a chain that gains less can't outweigh even the largest prior.
+FIRST_PRIOR, MOST_PRIOR = 1e-4, 0.3
+LEAST_GAIN = -math.log(MOST_PRIOR)
 
 
-def _clean_model(docs: DataFrame, text: str, model: CharModel) -> CharModel:
+def _weighed(judge: Judge, ws: list[str], prior) -> list[tuple[float, tuple[int, ...], int, int]]:
+    """Log odds, chain, first and last odd word of a record's chains, as the posterior weighs them."""
+    found = [(g, c, a, b) for c, (g, a, b) in judge.record(ws).items() if g > LEAST_GAIN]
+    return [(g - math.log(len(ws)) + prior(_chain_key(c)), c, a, b) for g, c, a, b in found]
+
+
+def _likely(weighed: list[tuple[float, tuple[int, ...], int, int]], least: float = 0.0) -> bool:
+    """Whether all chains together, of which several can give the same text, outweigh the text as it stands."""
+    return sum(math.exp(min(500.0, v)) for v, *_ in weighed) > math.exp(least)
+
+
+def _garbled_spans(judge: Judge, ws: list[str], prior) -> set[tuple[int, int]]:
+    """The passages that are rather garbled than not: those of chains that do so alone, and the best one's of several."""
+    weighed = _weighed(judge, ws, prior)
+    spans = {(a, b) for v, _, a, b in weighed if v > 0}
+    return spans or ({max(weighed)[2:]} if _likely(weighed) else set())
+
+
+def _clean_model(docs: DataFrame, text: str, source: str, model: CharModel, pri: DataFrame | None = None) -> CharModel:
     """M-step of the character model: every odd word counts, but for the passages that are rather garbled than not."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model, _log_priors(pri)))
 
     def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge = Judge(shared.value)
+        m, lp = shared.value
+        judge = Judge(m)
         words: dict[str, int] = {}
         acc: dict[tuple[int, int], float] = {}
         for pdf in it:
-            for t in pdf[text]:
+            for src, t in zip(pdf["source"], pdf["text"]):
                 ws = odd_words(t)
                 gone: set[int] = set()
-                for g, a, b in judge.record(ws).values():
-                    if g - math.log(len(ws)) > LEAST_GAIN:
-                        gone.update(range(a, b + 1))
+                for a, b in _garbled_spans(judge, ws, lambda c, src=src: lp(src, c)):
+                    gone.update(range(a, b + 1))
                 for i, w in enumerate(ws):
                     if i not in gone and "�" not in w:
                         words[w] = words.get(w, 0) + 1
@@ -278,7 +297,22 @@ def _clean_model(docs: DataFrame, text: str, model: CharModel) -> CharModel:
         if acc:
             yield _counts_frame(acc)
 
-    return _collect_model(docs.select(text).mapInPandas(work, "o int, slot int, n double"))
+    base = docs.select(F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"))
+    return _collect_model(base.mapInPandas(work, "o int, slot int, n double"))
+
+
+class _LogPriors:
+    """Log prior of a chain in a source: the first prior where none are pooled yet, a hundredth of it where a chain is new."""
+
+    def __init__(self, pooled: dict[tuple[str, str], float] | None):
+        self.pooled = pooled
+
+    def __call__(self, source: str, chain: str) -> float:
+        return math.log(FIRST_PRIOR) if self.pooled is None else self.pooled.get((source, chain), math.log(FIRST_PRIOR / 100))
+
+
+def _log_priors(pri: DataFrame | None) -> _LogPriors:
+    return _LogPriors(None if pri is None else {(r["source"], r["chain"]): r["lp"] for r in pri.collect()})
 
 
 def _evidence(docs: DataFrame, doc: str, text: str, source: str, model: CharModel) -> DataFrame:
@@ -292,7 +326,7 @@ def _evidence(docs: DataFrame, doc: str, text: str, source: str, model: CharMode
             rows = []
             for d, s, t in zip(pdf["doc"], pdf["source"], pdf["text"]):
                 ws = odd_words(t)
-                ev = sorted(((g[0], _chain_key(c)) for c, g in judge.record(ws).items() if g[0] - math.log(len(ws)) > LEAST_GAIN), reverse=True)[:40]
+                ev = sorted(((g[0], _chain_key(c)) for c, g in judge.record(ws).items() if g[0] > LEAST_GAIN), reverse=True)[:40]
                 lost = "�" in t
                 if ev or lost:
                     rows.append((d, s, len(ws), lost, [{"chain": c, "gain": g} for g, c in ev]))
@@ -350,10 +384,14 @@ def _usable(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 def _fit(docs: DataFrame, doc: str, text: str, source: str) -> tuple[DataFrame, DataFrame, CharModel]:
     base = _usable(docs, doc, text)
-    model = _clean_model(base, text, _first_model(base, text))
-    ev = stage(_evidence(base, doc, text, source, model), "encoding-evidence")
     sizes = base.groupBy(F.coalesce(F.col(source), F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
-    return ev, estimate_priors(ev, sizes), model
+    model, pri = _first_model(base, text), None
+    # the second time with pooled priors, so that passages of weak evidence don't teach the model to take them for clean
+    for _ in range(2):
+        model = _clean_model(base, text, source, model, pri)
+        ev = stage(_evidence(base, doc, text, source, model), "encoding-evidence")
+        pri = estimate_priors(ev, sizes)
+    return ev, pri, model
 
 
 def find_garbled(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", least: float = 0.5) -> DataFrame:
@@ -376,15 +414,10 @@ def restore(text: str, judge: Judge, prior, least: float = 0.0, rounds: int = 4)
     for _ in range(rounds):
         parts = re.split(r"([ \t\r\n]+)", text)
         odd = [i for i, w in enumerate(parts) if not w.isascii()]
-        best = None
-        for c, (g, a, b) in judge.record([parts[i] for i in odd]).items():
-            net = g - math.log(len(odd))
-            v = net + prior(_chain_key(c))
-            if net > LEAST_GAIN and v > least and (best is None or v > best[0]):
-                best = (v, c, a, b)
-        if best is None:
+        weighed = _weighed(judge, [parts[i] for i in odd], prior)
+        if not _likely(weighed, least):
             break
-        _, c, a, b = best
+        _, c, a, b = max(weighed)
         for i in odd[a : b + 1]:
             w: str | None = parts[i]
             for s in c:
@@ -401,8 +434,7 @@ def restore_garbled(docs: DataFrame, doc: str = "doc_id", text: str = "text", so
     ev, pri, model = _fit(docs, doc, text, source)
     hit = _posteriors(ev, pri).where(F.col("p") >= 0.5).select("doc", "source").unionByName(ev.where("lost").select("doc", "source")).distinct()
     kind = docs.schema[doc].dataType.simpleString()
-    logp = {(r["source"], r["chain"]): r["lp"] for r in pri.collect()}
-    shared = docs.sparkSession.sparkContext.broadcast((model, logp))
+    shared = docs.sparkSession.sparkContext.broadcast((model, _log_priors(pri)))
     base = _usable(docs, doc, text).select(F.col(doc).alias("doc"), F.col(text).alias("text"))
 
     def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -411,7 +443,7 @@ def restore_garbled(docs: DataFrame, doc: str = "doc_id", text: str = "text", so
         for pdf in it:
             rows = []
             for d, s, t in zip(pdf["doc"], pdf["source"], pdf["text"]):
-                fixed, chains = restore(t, judge, lambda c, s=s: lp.get((s, c), math.log(FIRST_PRIOR / 100)))
+                fixed, chains = restore(t, judge, lambda c, s=s: lp(s, c))
                 rows.append((d, fixed, chains, "�" in fixed))
             yield pd.DataFrame(rows, columns=["doc", "text", "chains", "lost"])
 

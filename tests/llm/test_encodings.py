@@ -49,3 +49,32 @@ def test_found_and_restored(spark):
     right = sum(back[i]["text"] == t for i, t in bad.items())
     assert right >= 0.9 * len(bad) and back[1003]["lost"] and not back[3]["lost"]
     assert E.find_garbled(df.limit(0)).count() == 0
+
+
+def one_word_corpus(n=600):
+    rnd = random.Random(5)
+    plain = "the price of a room was about so we stayed and the view over the bay made it worth it".split()
+    odd = [lambda: f"€{rnd.randint(10, 99)}", lambda: f"{rnd.randint(10, 44)}°C", lambda: rnd.choice(["year’s", "city’s", "owner’s", "it’s", "we’re"]), lambda: rnd.choice([*FR, "L’équipe", "l’été"])]
+    docs, bad = [], {}
+    for i in range(n):
+        kind = i % 3
+        words = [rnd.choice(plain) for _ in range(25)] + [f() for f in odd for _ in range(1 + 40 * (i % 50 == 7))]
+        rnd.shuffle(words)
+        t = " ".join(words)
+        if i % 15 == 4:
+            bad[i] = " ".join(w for w in words if w.isascii()) + " " + odd[kind]()
+            t = E.garble(bad[i], "cp1252", "mac_roman" if i % 2 else "cp437")
+        elif i % 50 == 7:
+            two = f"{odd[2]()} {odd[i // 50 % 2]()}"
+            bad[i] = f"{t} {two}"
+            t += " " + E.garble(two, "cp1252", "mac_roman")
+        docs.append((i, t, "s" if i % 2 else "t"))
+    return docs, bad
+
+
+def test_weak_evidence_is_pooled(spark):
+    docs, bad = one_word_corpus()
+    df = spark.createDataFrame(docs, "doc_id int, text string, source string")
+    assert {r["doc_id"] for r in E.find_garbled(df).collect()} == set(bad)
+    back = {r["doc_id"]: r["text"] for r in E.restore_garbled(df).collect()}
+    assert back == bad
