@@ -493,6 +493,13 @@ def parsed_coordinates(spark: SparkSession, d: str) -> DataFrame:
     return m.select(F.col("mbid").alias("id"), latlon(F.col("coordinates")).alias("p")).where("p IS NOT NULL").select("id", "p.lat", "p.lon")
 
 
+@q()
+def parsed_coordinates_all(spark: SparkSession, d: str) -> DataFrame:
+    """D19 on every notation."""
+    m = table(spark, d, "mb_places").select("mbid", "coordinates").distinct()
+    return m.select(F.col("mbid").alias("id"), latlon(F.col("coordinates")).alias("p")).where("p IS NOT NULL").select("id", "p.lat", "p.lon")
+
+
 @q("WITH c AS (SELECT localityid AS id, CAST(split_part(coordinates, ',', 1) AS DOUBLE) AS lat, CAST(split_part(coordinates, ',', 2) AS DOUBLE) AS lon FROM localities WHERE coordinates IS NOT NULL), p AS (SELECT place_id AS id, arg_max(payload, fetched_at) AS payload FROM places_raw WHERE json_valid(payload) GROUP BY place_id), l AS (SELECT id, CAST(json_extract(payload, '$.location.latitude') AS DOUBLE) AS lat, CAST(json_extract(payload, '$.location.longitude') AS DOUBLE) AS lon FROM p), d AS (SELECT l.id, 2 * 6371000 * asin(sqrt(least(1, pow(sin(radians(c.lat - l.lat) / 2), 2) + cos(radians(l.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - l.lon) / 2), 2)))) AS m FROM l, c WHERE l.lat IS NOT NULL AND l.lon IS NOT NULL) SELECT id, round(min(m), 3) AS metres, CASE WHEN min(m) <= 200 THEN 'on' ELSE 'near' END AS tag FROM d GROUP BY id HAVING min(m) <= 800")
 def nearest_anchor(spark: SparkSession, d: str) -> DataFrame:
     """The nearest anchor within a distance."""
