@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from plexora.operators.graph import adjacency, walk
+from plexora.operators.graph import adjacency
+from plexora.scale import stage
 from plexora.sources.shards import read_json, write_json
 
 #: One change per line.
@@ -86,16 +87,20 @@ class GraphState:
 
 def affected_roots(changes: DataFrame, old_edges: DataFrame, new_edges: DataFrame, max_depth: int) -> DataFrame:
     """id of every vertex whose neighbourhood a batch may have changed: what it touched, and what lies around that in the
-    old or the new graph."""
+    old or the new graph, however many. A level is the distinct set of what the one before it touches, without its roots."""
     e = lambda c: F.transform(c, lambda x: F.array(x["sourceCid"], x["targetCid"]))
     ids = F.flatten(F.array(F.transform("addedVertices", lambda v: v["cid"]), F.col("removedVertexCids"), F.flatten(e(F.col("addedEdges"))), F.flatten(e(F.col("removedEdges")))))
     filled = changes.select(
         *[F.coalesce(F.col(c), F.array().cast(changes.schema[c].dataType)).alias(c) for c in ("addedVertices", "removedVertexCids", "addedEdges", "removedEdges")]
     )
     touched = filled.select(F.explode(ids).alias("id")).where(F.col("id").isNotNull()).distinct()
-    both = adjacency(old_edges.unionByName(new_edges))
-    around = walk(touched, both, max_depth, node_cap=1_000_000).select(F.col("node").alias("id"))
-    return touched.unionByName(around).distinct()
+    both = adjacency(old_edges.unionByName(new_edges)).select(F.col("node").alias("id"), "nbr")
+    seen = frontier = touched
+    for depth in range(1, max_depth + 1):
+        level = frontier.join(both, "id").select(F.col("nbr").alias("id")).distinct().join(seen, "id", "left_anti")
+        frontier = stage(level, f"affected-{depth}") if depth < max_depth else level
+        seen = seen.unionByName(frontier)
+    return seen
 
 
 def watch(
