@@ -155,7 +155,7 @@ def remove_leaks(docs: DataFrame, items: DataFrame, n: int = 13, drop_share: flo
     """
     pairs = _collect_items(items, item, text, n)
     if pairs is None:
-        raise ValueError("too many test n-grams for span removal in one pass; split the test items")
+        return _remove_by_shuffle(docs, items, n, drop_share, doc, item, text)
     grams = docs.sparkSession.sparkContext.broadcast(TestGrams(pairs, n))
     kind = docs.schema[doc].dataType.simpleString()
 
@@ -170,6 +170,24 @@ def remove_leaks(docs: DataFrame, items: DataFrame, n: int = 13, drop_share: flo
     return docs.select(doc, text).mapInPandas(cut, f"`{doc}` {kind}, `{text}` string, removed_words int, dropped boolean")
 
 
+def _remove_by_shuffle(docs: DataFrame, items: DataFrame, n: int, drop_share: float, doc: str, item: str, text: str) -> DataFrame:
+    """The same with the test n-grams of each text joined back to it, by the text's hash, as ids may be null or repeated."""
+    kind = docs.schema[doc].dataType.simpleString()
+    base = docs.select(F.col(doc), F.col(text), F.sha2(text, 256).alias("__k"))
+    g = _gram_rows(base.select("__k", text).dropDuplicates(["__k"]), "__k", text, n)
+    hits = g.join(_gram_rows(items, item, text, n).select("gram").distinct(), "gram").groupBy("__k").agg(F.collect_list("gram").alias("__g"))
+
+    def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = []
+            for d, t, own in zip(pdf[doc], pdf[text], pdf["__g"]):
+                found = [] if own is None else [("", x) for x in own]
+                rows.append((d, *_without_spans(t, TestGrams(found, n), drop_share)))
+            yield pd.DataFrame(rows, columns=[doc, text, "removed_words", "dropped"])
+
+    return base.join(hits, "__k", "left").select(doc, text, "__g").mapInPandas(cut, f"`{doc}` {kind}, `{text}` string, removed_words int, dropped boolean")
+
+
 def _without_spans(t: str | None, g: TestGrams, drop_share: float) -> tuple[str | None, int, bool]:
     if not t or not (hits := g.hits(words(t))):
         return t, 0, False
