@@ -20,13 +20,15 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, cell_m: float
 
     An equi-join on cubes of a grid in space: a left point lies in one cube, a right point (give the smaller set on the
     right) is repeated into the cubes that its surroundings touch, so each pair meets exactly once. A cube that holds a
-    large share of the left points is split by salt, its right points repeated per salt. Rows with a null are left out;
-    an empty side gives no rows.
+    large share of the left points is split by salt, its right points repeated per salt. Rows without an id or a place are
+    left out; an empty side gives no rows. Further columns of either side (with names of their own) come along.
     """
     size = cell_m or 3 * radius_m
-    a = left.dropna().select(F.col("id").alias("id_l"), F.col("lat").alias("la"), F.col("lon").alias("lo"))
+    own = ("id", "lat", "lon")
+    extra = [c for d in (left, right) for c in d.columns if c not in own]
+    a = left.dropna(subset=list(own)).withColumnsRenamed({"id": "id_l", "lat": "la", "lon": "lo"})
     a = a.withColumn("cell", cube_cell(F.col("la"), F.col("lo"), size))
-    b = right.dropna().select(F.col("id").alias("id_r"), F.col("lat").alias("lb"), F.col("lon").alias("lp"))
+    b = right.dropna(subset=list(own)).withColumnsRenamed({"id": "id_r", "lat": "lb", "lon": "lp"})
     b = b.withColumn("cell", F.explode(cube_cells_near(F.col("lb"), F.col("lp"), size, radius_m)))
     heavy = heavy_keys(a, "cell")
     keys = ["cell"]
@@ -36,7 +38,7 @@ def near_pairs(left: DataFrame, right: DataFrame, radius_m: float, cell_m: float
         b = b.withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1)))
         keys.append("salt")
     d = haversine_m(F.col("la"), F.col("lo"), F.col("lb"), F.col("lp"))
-    return a.join(b, keys).select("id_l", "id_r", d.alias("metres")).where(F.col("metres") <= radius_m)
+    return a.join(b, keys).select("id_l", "id_r", d.alias("metres"), *extra).where(F.col("metres") <= radius_m)
 
 
 def region_slabs(regions: DataFrame, key: str, boundary: str) -> DataFrame:
