@@ -38,12 +38,21 @@ SHORT = {"pl": "platz", "g": "gasse", "str": "strasse"}
 _TYPE = {w: k for k, ws in TYPES.items() for w in ws.split()}
 _DIR = {w: k for k, ws in DIRECTIONS.items() for w in ws.split()}
 _SPLIT = re.compile(r"[^\w#]+|(?=#)|(?<=#)")
+_LONG_CODE, _LETTER_CODE = re.compile(r"\b(\d{5})-\d{4}\b"), re.compile(r"\b[a-z]-(\d{5})\b")
+_NUMBER_SIGN = re.compile(r"\b(?:no|nr|number)\b\.?\s*(?=\d)")
+_SHORT_END = re.compile(r"(?<=[^\W\d_]{4})(pl|g|str)\.(?=\W|$|\d)")
+_UNIT, _NUM = re.compile(r"#|[a-z]?\d{1,4}[a-z]?|[a-z]"), re.compile(r"\d+[a-z]?")
 #: Most towns of a gazetteer that every task may hold.
 MAX_TOWNS = 50_000
+#: Words that a task remembers the answers to.
+MEMO = 100_000
 
 
 def _plain(text: str) -> str:
-    t = unicodedata.normalize("NFKD", text.casefold())
+    t = text.casefold()
+    if t.isascii():
+        return t
+    t = unicodedata.normalize("NFKD", t)
     return "".join(c for c in t if not unicodedata.combining(c))
 
 
@@ -83,6 +92,26 @@ class Gazetteer:
     regions: set[tuple[str, ...]]
     codes: set[str]
 
+    def __post_init__(self) -> None:
+        #: regions by what their first word leaves when a letter is deleted, and answers to words met before
+        self.starts: dict[str, set[tuple[str, ...]]] = {}
+        for r in self.regions:
+            for d in deletes(r[0]) if r else ():
+                self.starts.setdefault(d, set()).add(r)
+        self.known_starts: dict[str, tuple[tuple[str, ...], ...]] = {}
+        self.known_towns: dict[str, str | None] = {}
+
+    def regions_from(self, word: str) -> tuple[tuple[str, ...], ...]:
+        """Regions whose first word is this word, or at most one error away from it; in order."""
+        hit = self.known_starts.get(word)
+        if hit is None:
+            some = {r for d in deletes(word) for r in self.starts.get(d, ())}
+            hit = tuple(sorted(r for r in some if damerau(word, r[0], 1) <= (1 if len(r[0]) > 3 else 0)))
+            if len(self.known_starts) > MEMO:
+                self.known_starts.clear()
+            self.known_starts[word] = hit
+        return hit
+
     @staticmethod
     def of(rows: list[tuple[str | None, str | None, str | None, str | None]]) -> Gazetteer:
         by_code, names, near, regions, codes = {}, set(), {}, set(), set()
@@ -106,8 +135,12 @@ class Gazetteer:
             return word
         if len(word) < 5:
             return None
-        near = {t for d in deletes(word) for t in self.near.get(d, ()) if damerau(word, t, 1) <= 1}
-        return next(iter(near)) if len(near) == 1 else None
+        if word not in self.known_towns:
+            near = {t for d in deletes(word) for t in self.near.get(d, ()) if damerau(word, t, 1) <= 1}
+            if len(self.known_towns) > MEMO:
+                self.known_towns.clear()
+            self.known_towns[word] = next(iter(near)) if len(near) == 1 else None
+        return self.known_towns[word]
 
 
 @dataclass
@@ -123,9 +156,9 @@ class Address:
 
 def _is_region(words: list[str], i: int, g: Gazetteer) -> int:
     """How many words from i on are the name of a region, allowing one error in each."""
-    for r in g.regions:
+    for r in g.regions_from(words[i]):
         n = len(r)
-        if i + n <= len(words) and all(damerau(a, b, 1) <= (1 if len(b) > 3 else 0) for a, b in zip(words[i : i + n], r)):
+        if i + n <= len(words) and all(damerau(a, b, 1) <= (1 if len(b) > 3 else 0) for a, b in zip(words[i + 1 : i + n], r[1:])):
             return n
     return 0
 
@@ -133,11 +166,11 @@ def _is_region(words: list[str], i: int, g: Gazetteer) -> int:
 def parse(text: str, g: Gazetteer) -> Address:
     """Canonical tokens of an address in any order of its parts."""
     t = _plain(text)
-    t = re.sub(r"\b(\d{5})-\d{4}\b", r"\1", t)
-    t = re.sub(r"\b[a-z]-(\d{5})\b", r"\1", t)
-    t = re.sub(r"\b(?:no|nr|number)\b\.?\s*(?=\d)", "", t)
+    t = _LONG_CODE.sub(r"\1", t)
+    t = _LETTER_CODE.sub(r"\1", t)
+    t = _NUMBER_SIGN.sub("", t)
     # short endings of compounds are known by their full stop
-    t = re.sub(r"(?<=[^\W\d_]{4})(pl|g|str)\.(?=\W|$|\d)", lambda m: SHORT[m.group(1)], t)
+    t = _SHORT_END.sub(lambda m: SHORT[m.group(1)], t)
     words = [w for w in _SPLIT.split(t) if w and w != "_"]
     a = Address()
     # post code: a number of five digits that the gazetteer knows, else one that isn't the only number
@@ -154,7 +187,7 @@ def parse(text: str, g: Gazetteer) -> Address:
     i = 0
     while i < len(words):
         w = words[i]
-        if (w == "#" or w in UNITS) and i + 1 < len(words) and re.fullmatch(r"#|[a-z]?\d{1,4}[a-z]?|[a-z]", words[i + 1]):
+        if (w == "#" or w in UNITS) and i + 1 < len(words) and _UNIT.fullmatch(words[i + 1]):
             j = i + 1
             while j < len(words) and words[j] == "#":
                 j += 1
@@ -179,7 +212,7 @@ def parse(text: str, g: Gazetteer) -> Address:
     words = kept
     # house number: the first number left, with a letter perhaps
     for i, w in enumerate(words):
-        if re.fullmatch(r"\d+[a-z]?", w):
+        if _NUM.fullmatch(w):
             a.num = w.lstrip("0") or w
             words[i] = "|"
             break
