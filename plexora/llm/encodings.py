@@ -4,6 +4,9 @@ A text, or a passage of it, went through a latent chain of steps "written in one
 chain gives the text that was meant; how likely that is is told by a character trigram model of clean text, trained on
 the corpus itself. Each record's chain is latent: the E-step weighs the chains by the evidence of all its words, the
 M-step pools these weights per source and field into priors, and re-estimates the character model on what is clean.
+
+The texts are read once: what is kept of them are their words outside ASCII (odd words). The counts of distinct odd words
+give the character model; evidence is gathered in narrow passes over the odd words of each record.
 """
 
 from __future__ import annotations
@@ -11,11 +14,12 @@ from __future__ import annotations
 import codecs
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plexora.scale import stage
@@ -34,12 +38,14 @@ STEPS: tuple[tuple[str, str], ...] = (
     *(("cp1250", e) for e in ("cp1252", "latin-1", "iso8859_2")),
     *(("iso8859_2", e) for e in ("cp1252", "latin-1", "cp1250")),
 )
-#: Most steps of a chain.
-MAX_STEPS = 3
 #: Hash buckets per order of the character model; so its size doesn't depend on the corpus.
 BUCKETS = 1 << 18
 #: Gain of a word that a chain can't have produced, and the least gain of any word.
 CANNOT = -12.0
+#: Prior of each chain before anything is known; a chain that is new to a source starts from a hundredth of it.
+FIRST_PRIOR = 1e-4
+#: Words of which a task remembers what a model says.
+MEMO = 50_000
 _SPACE = re.compile(r"[ \t\r\n]+")
 _CODEC: dict[str, tuple[str, object]] = {}
 
@@ -76,26 +82,62 @@ def undo(text: str, step: int) -> str | None:
     return None if out == text else out
 
 
+_READS = tuple(dict.fromkeys(r for _, r in STEPS))
+_STEPS_OF = {r: tuple(s for s, (_, x) in enumerate(STEPS) if x == r) for r in _READS}
+_CHAR_READS: dict[str, int] = {}
+
+
+def _reads(word: str) -> int:
+    """Bits of the encodings (of _READS) that have every character of a word."""
+    out = (1 << len(_READS)) - 1
+    for ch in word:
+        if ch > "\x7f":
+            bits = _CHAR_READS.get(ch)
+            if bits is None:
+                bits = sum(1 << i for i, r in enumerate(_READS) if ch in _single(r)[0])
+                if len(_CHAR_READS) < 65_536:
+                    _CHAR_READS[ch] = bits
+            out &= bits
+    return out
+
+
+def _undone(word: str) -> Iterator[tuple[int, str]]:
+    """Every step that can have produced the word, with the word before it."""
+    bits = _reads(word)
+    for i, read in enumerate(_READS):
+        if not bits >> i & 1:
+            continue
+        try:
+            raw = codecs.charmap_encode(word, "strict", _single(read)[1])[0]
+        except UnicodeError:
+            continue
+        for s in _STEPS_OF[read]:
+            written = STEPS[s][0]
+            try:
+                u = raw.decode("utf-8") if written == "utf-8" else codecs.charmap_decode(raw, "strict", _single(written)[0])[0]
+            except UnicodeError:
+                continue
+            if u != word:
+                yield s, u
+
+
 def unchain(word: str) -> dict[tuple[int, ...], str]:
     """Every chain that can have produced the word, last step first, with the word it was made from.
 
-    Only steps from UTF-8 are followed by others: undoing them fails on nearly all words that they haven't produced.
+    Steps from UTF-8 are followed by others, however many: undoing one makes the word shorter. A step between two
+    single-byte encodings ends a chain, as two of them are one other such step.
     """
     out: dict[tuple[int, ...], str] = {}
     level: list[tuple[tuple[int, ...], str]] = [((), word)]
-    for _ in range(MAX_STEPS):
+    while level:
         nxt = []
         for chain, w in level:
-            for s, (written, _) in enumerate(STEPS):
-                u = undo(w, s)
-                if u is not None:
-                    c = (*chain, s)
-                    out[c] = u
-                    if written == "utf-8" and not u.isascii():
-                        nxt.append((c, u))
+            for s, u in _undone(w):
+                c = (*chain, s)
+                out[c] = u
+                if STEPS[s][0] == "utf-8" and not u.isascii():
+                    nxt.append((c, u))
         level = nxt
-        if not level:
-            break
     return out
 
 
@@ -111,59 +153,67 @@ def chain_of(key: str) -> tuple[int, ...]:
     return tuple(int(x) for x in key.split("."))
 
 
-def odd_words(text: str) -> list[str]:
-    """The words of a text with a character outside ASCII, in order."""
-    return [] if text.isascii() else [w for w in _SPACE.split(text) if not w.isascii()]
+def _trigrams(words: Sequence[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Start of each word, and the slots of its letters: letter, pair, triple, letter before, pair before.
 
+    All digits are one letter; a word ends with a letter of its own.
+    """
+    codes = np.frombuffer("".join([w + "\x03" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    codes = np.where((codes >= 48) & (codes <= 57), 48, codes)
+    size = np.array([len(w) + 1 for w in words])
+    start = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+    b = np.concatenate([[2], codes[:-1]])
+    b[start] = 2
+    a = np.concatenate([[2], b[:-1]])
+    a[start] = 2
+    pair = lambda x, y: x * 131071 + y * 8191
+    return start, [codes % BUCKETS, pair(b, codes) % BUCKETS, (a * 1299709 + pair(b, codes)) % BUCKETS, b % BUCKETS, pair(a, b) % BUCKETS]
 
-def _codes(word: str) -> tuple[int, ...]:
-    """Code points with all digits as one, and the end of the word."""
-    return (*(48 if 48 <= o <= 57 else o for o in map(ord, word)), 3)
 
+@dataclass
+class CharModel:
+    """Interpolated character trigrams in hash buckets: counts by order, see _trigrams. Its size is fixed."""
 
-def _slots(a: int, b: int, c: int) -> tuple[int, int, int]:
-    return c % BUCKETS, (b * 131071 + c * 8191) % BUCKETS, (a * 1299709 + b * 131071 + c * 8191) % BUCKETS
+    counts: list[np.ndarray]
 
+    def __post_init__(self) -> None:
+        self.total = float(self.counts[0].sum())
 
-@dataclass
-class CharModel:
-    """Interpolated character trigrams in hash buckets."""
-
-    one: dict[int, float]
-    two: dict[int, float]
-    three: dict[int, float]
-    after: dict[int, float]
-    after_two: dict[int, float]
-    total: float
-
-    def loglik(self, word: str) -> float:
-        a, b, out = 2, 2, 0.0
-        for ch in _codes(word):
-            s1, s2, s3 = _slots(a, b, ch)
-            p1 = (self.one.get(s1, 0.0) + 0.05) / (self.total + 500)
-            p2 = (self.two.get(s2, 0.0) + 3 * p1) / (self.after.get(b % BUCKETS, 0.0) + 3)
-            p3 = (self.three.get(s3, 0.0) + 3 * p2) / (self.after_two.get(_slots(0, a, b)[1], 0.0) + 3)
-            out += math.log(p3)
-            a, b = b, ch
-        return out
+    def logliks(self, words: Sequence[str]) -> np.ndarray:
+        """Log-likelihood of each word."""
+        if not len(words):
+            return np.zeros(0)
+        start, (s1, s2, s3, before, before_two) = _trigrams(words)
+        one, two, three, after, after_two = self.counts
+        p1 = (one[s1] + 0.05) / (self.total + 500)
+        p2 = (two[s2] + 3 * p1) / (after[before] + 3)
+        p3 = (three[s3] + 3 * p2) / (after_two[before_two] + 3)
+        return np.add.reduceat(np.log(p3), start)
 
+    def less(self, other: CharModel) -> CharModel:
+        return CharModel([np.maximum(a - b, 0) for a, b in zip(self.counts, other.counts)])
 
-def _count(word: str, n: float, acc: dict[tuple[int, int], float]) -> None:
-    a, b = 2, 2
-    for ch in _codes(word):
-        s1, s2, s3 = _slots(a, b, ch)
-        for k in ((1, s1), (2, s2), (3, s3), (4, b % BUCKETS), (5, _slots(0, a, b)[1])):
-            acc[k] = acc.get(k, 0.0) + n
-        a, b = b, ch
 
+def _model(words: DataFrame) -> CharModel:
+    """The character model of words (word, n), counted by the tasks; at most 5 * BUCKETS numbers come together."""
 
-def _collect_model(counts: DataFrame) -> CharModel:
-    """At most 5 * BUCKETS numbers."""
-    parts: list[dict[int, float]] = [{}, {}, {}, {}, {}]
-    pdf = counts.groupBy("o", "slot").agg(F.sum("n").alias("n")).toPandas()
-    for o, s, n in zip(pdf["o"].tolist(), pdf["slot"].tolist(), pdf["n"].tolist()):
-        parts[o - 1][s] = n
-    return CharModel(*parts, total=sum(parts[0].values()))
+    def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc = np.zeros((5, BUCKETS))
+        for pdf in it:
+            ws = pdf["word"].tolist()
+            if ws:
+                n = np.repeat(pdf["n"].to_numpy(float), [len(w) + 1 for w in ws])
+                for o, slots in enumerate(_trigrams(ws)[1]):
+                    acc[o] += np.bincount(slots, n, BUCKETS)
+        o, slot = np.nonzero(acc)
+        yield pd.DataFrame({"o": o.astype("int32"), "slot": slot.astype("int32"), "n": acc[o, slot]})
+
+    counts = words.mapInPandas(work, "o int, slot int, n double").groupBy("o", "slot").agg(F.sum("n").alias("n")).toPandas()
+    out = [np.zeros(BUCKETS) for _ in range(5)]
+    for o in range(5):
+        mine = counts[counts["o"] == o]
+        out[o][mine["slot"].to_numpy()] = mine["n"].to_numpy()
+    return CharModel(out)
 
 
 class Judge:
@@ -173,30 +223,26 @@ class Judge:
         self.model = model
         self.seen: dict[str, dict[tuple[int, ...], float]] = {}
 
-    def word(self, w: str) -> dict[tuple[int, ...], float]:
-        """chain -> gain in log-likelihood over the word as it stands."""
-        g = self.seen.get(w)
-        if g is None:
-            cands = unchain(w)
-            if cands:
-                own = self.model.loglik(w)
-                done: dict[str, float] = {}
-                g = {}
-                for c, u in cands.items():
-                    if u not in done:
-                        done[u] = self.model.loglik(u) - own
-                    if done[u] > CANNOT:  # a chain that explains the word worse than that is as good as impossible
-                        g[c] = done[u]
-            else:
-                g = {}
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            self.seen[w] = g
-        return g
-
-    def record(self, ws: list[str]) -> dict[tuple[int, ...], tuple[float, int, int]]:
+    def learn(self, words: Sequence[str]) -> None:
+        """Makes the words known: chain -> gain in log-likelihood over the word as it stands."""
+        if len(self.seen) > MEMO:
+            self.seen.clear()
+        new = [w for w in dict.fromkeys(words) if w not in self.seen]
+        for i in range(0, len(new), 2000):
+            part = new[i : i + 2000]
+            cands = [unchain(w) for w in part]
+            texts = list(dict.fromkeys([*part, *(u for c in cands for u in c.values())]))
+            ll = dict(zip(texts, self.model.logliks(texts).tolist()))
+            for w, c in zip(part, cands):
+                own = ll[w]
+                # a chain that explains the word worse than that is as good as impossible
+                self.seen[w] = {k: g for k, u in c.items() if (g := ll[u] - own) > CANNOT}
+
+    def record(self, ws: Sequence[str]) -> dict[tuple[int, ...], tuple[float, int, int]]:
         """chain -> (gain of its best passage, first and last odd word of it); only chains that gain."""
-        gains = [self.word(w) for w in ws]
+        if any(w not in self.seen for w in ws):
+            self.learn(ws)
+        gains = [self.seen[w] for w in ws]
         chains = {c for g in gains for c, v in g.items() if v > 0}
         out = {}
         for c in chains:
@@ -213,49 +259,10 @@ class Judge:
         return out
 
 
-def _first_model(docs: DataFrame, text: str) -> CharModel:
-    """Counts of the odd words that no step from UTF-8 can have produced: nearly all of what is left is clean."""
-
-    def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: dict[str, int] = {}
-        acc: dict[tuple[int, int], float] = {}
-        # Cyrillic words can happen to be UTF-8 in the Cyrillic DOS and KOI8 encodings, so these don't speak against a word
-        utf = [s for s, (w, r) in enumerate(STEPS) if w == "utf-8" and r not in ("cp866", "koi8_r")]
-        ok: dict[str, bool] = {}
-        for pdf in it:
-            for t in pdf[text]:
-                for w in odd_words(t):
-                    words[w] = words.get(w, 0) + 1
-            if len(words) > 100_000:
-                _flush(words, ok, utf, acc)
-        _flush(words, ok, utf, acc)
-        if acc:
-            yield _counts_frame(acc)
-
-    return _collect_model(docs.select(text).mapInPandas(work, "o int, slot int, n double"))
-
-
-def _flush(words: dict[str, int], ok: dict[str, bool], utf: list[int], acc: dict[tuple[int, int], float]) -> None:
-    for w, n in words.items():
-        if "�" not in w and all(undo(w, s) is None for s in utf):
-            _count(w, n, acc)
-    words.clear()
-
-
-def _counts_frame(acc: dict[tuple[int, int], float]) -> pd.DataFrame:
-    return pd.DataFrame({"o": [k[0] for k in acc], "slot": [k[1] for k in acc], "n": list(acc.values())})
-
-
-#: Prior of each chain before anything is known, the most that pooling may raise it to, and what a passage must gain in
-#: log-likelihood to be handed on as evidence: a chain that gains less can't outweigh even the largest prior.
-FIRST_PRIOR, MOST_PRIOR = 1e-4, 0.3
-LEAST_GAIN = -math.log(MOST_PRIOR)
-
-
-def _weighed(judge: Judge, ws: list[str], prior) -> list[tuple[float, tuple[int, ...], int, int]]:
-    """Log odds, chain, first and last odd word of a record's chains, as the posterior weighs them."""
-    found = [(g, c, a, b) for c, (g, a, b) in judge.record(ws).items() if g > LEAST_GAIN]
-    return [(g - math.log(len(ws)) + prior(_chain_key(c)), c, a, b) for g, c, a, b in found]
+def _weighed(judge: Judge, ws: Sequence[str], prior: Callable[[str], float]) -> list[tuple[float, tuple[int, ...], int, int]]:
+    """Log odds, chain, first and last odd word of a record's chains; the place of a passage costs what it takes to name it
+    among the record's odd words."""
+    return [(g - math.log(len(ws)) + prior(_chain_key(c)), c, a, b) for c, (g, a, b) in judge.record(ws).items()]
 
 
 def _likely(weighed: list[tuple[float, tuple[int, ...], int, int]], least: float = 0.0) -> bool:
@@ -263,158 +270,151 @@ def _likely(weighed: list[tuple[float, tuple[int, ...], int, int]], least: float
     return sum(math.exp(min(500.0, v)) for v, *_ in weighed) > math.exp(least)
 
 
-def _garbled_spans(judge: Judge, ws: list[str], prior) -> set[tuple[int, int]]:
-    """The passages that are rather garbled than not: those of chains that do so alone, and the best one's of several."""
-    weighed = _weighed(judge, ws, prior)
-    spans = {(a, b) for v, _, a, b in weighed if v > 0}
-    return spans or ({max(weighed)[2:]} if _likely(weighed) else set())
+_EVIDENCE = "array<struct<chain: string, gain: double, a: int, b: int>>"
 
 
-def _clean_model(docs: DataFrame, text: str, source: str, model: CharModel, pri: DataFrame | None = None) -> CharModel:
-    """M-step of the character model: every odd word counts, but for the passages that are rather garbled than not."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, _log_priors(pri)))
+def _odd_words(docs: DataFrame, doc: str, text: Sequence[str], source: str) -> DataFrame:
+    """doc, field, source, pool (what priors are pooled over: source and field), ws (odd words in order), lost (has
+    replacement characters) of the texts that have odd words. The only pass over the texts."""
+    one = lambda c: F.struct(F.lit(c).alias("field"), F.col(c).alias("text"))
+    rows = docs.where(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.explode(F.array(*map(one, text))).alias("f"))
+    rows = rows.select("doc", "source", "f.field", "f.text").where(F.col("text").rlike(r"[^\x00-\x7F]"))
+    words = F.filter(F.split("text", r"[ \t\r\n]+"), lambda w: w.rlike(r"[^\x00-\x7F]"))
+    pool = F.concat_ws("\x01", "source", "field")
+    return stage(rows.select("doc", "field", "source", pool.alias("pool"), words.alias("ws"), F.col("text").contains("\ufffd").alias("lost")), "encoding-words")
+
+
+def _first_words(vocabulary: DataFrame) -> DataFrame:
+    """The words that no step from UTF-8 can have produced: nearly all of what is left is clean."""
 
     def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, lp = shared.value
-        judge = Judge(m)
-        words: dict[str, int] = {}
-        acc: dict[tuple[int, int], float] = {}
+        # Cyrillic words can happen to be UTF-8 in the Cyrillic DOS and KOI8 encodings, so these don't speak against a word
+        utf = {s for s, (w, r) in enumerate(STEPS) if w == "utf-8" and r not in ("cp866", "koi8_r")}
         for pdf in it:
-            for src, t in zip(pdf["source"], pdf["text"]):
-                ws = odd_words(t)
-                gone: set[int] = set()
-                for a, b in _garbled_spans(judge, ws, lambda c, src=src: lp(src, c)):
-                    gone.update(range(a, b + 1))
-                for i, w in enumerate(ws):
-                    if i not in gone and "�" not in w:
-                        words[w] = words.get(w, 0) + 1
-            if len(words) > 100_000:
-                for w, n in words.items():
-                    _count(w, n, acc)
-                words.clear()
-        for w, n in words.items():
-            _count(w, n, acc)
-        if acc:
-            yield _counts_frame(acc)
+            yield pdf[[all(s not in utf for s, _ in _undone(w)) for w in pdf["word"]]]
 
-    base = docs.select(F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"))
-    return _collect_model(base.mapInPandas(work, "o int, slot int, n double"))
+    return vocabulary.mapInPandas(work, vocabulary.schema)
 
 
-class _LogPriors:
-    """Log prior of a chain in a source: the first prior where none are pooled yet, a hundredth of it where a chain is new."""
+def _evidence(odd: DataFrame, model: CharModel) -> DataFrame:
+    """odd with ev, all chains that gain, with their gains and passages, for records that have any or have lost text."""
+    shared = odd.sparkSession.sparkContext.broadcast(model)
+    kind = odd.schema["doc"].dataType.simpleString()
 
-    def __init__(self, pooled: dict[tuple[str, str], float] | None):
-        self.pooled = pooled
+    def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = Judge(shared.value)
+        for pdf in it:
+            texts = [list(ws) for ws in pdf["ws"]]
+            judge.learn([w for ws in texts for w in ws])
+            ev = [[{"chain": _chain_key(c), "gain": g, "a": a, "b": b} for c, (g, a, b) in judge.record(ws).items()] for ws in texts]
+            out = pdf.assign(ev=ev)
+            yield out[[bool(e) or bool(lost) for e, lost in zip(ev, pdf["lost"])]]
 
-    def __call__(self, source: str, chain: str) -> float:
-        return math.log(FIRST_PRIOR) if self.pooled is None else self.pooled.get((source, chain), math.log(FIRST_PRIOR / 100))
+    return odd.mapInPandas(work, f"doc {kind}, field string, source string, pool string, ws array<string>, lost boolean, ev {_EVIDENCE}")
 
 
-def _log_priors(pri: DataFrame | None) -> _LogPriors:
-    return _LogPriors(None if pri is None else {(r["source"], r["chain"]): r["lp"] for r in pri.collect()})
+def _odds(ev: DataFrame, pri: DataFrame | None) -> DataFrame:
+    """ev with o (odds of each of its chains, by its prior and its gain) and z (1 + their sum)."""
+    lp: Callable = lambda x: F.lit(math.log(FIRST_PRIOR))
+    if pri is not None:
+        ev = ev.join(pri.select("pool", "lps"), "pool", "left")
+        lp = lambda x: F.coalesce(F.col("lps")[x["chain"]], F.lit(math.log(FIRST_PRIOR / 100)))
+    place = F.log(F.size("ws").cast("double"))
+    ev = ev.withColumn("o", F.transform("ev", lambda x: F.exp(F.least(F.lit(500.0), lp(x) + x["gain"] - place))))
+    return ev.withColumn("z", 1 + F.aggregate("o", F.lit(0.0), lambda s, x: s + x))
 
 
-def _evidence(docs: DataFrame, doc: str, text: str, source: str, model: CharModel) -> DataFrame:
-    """doc, source, odd (number of odd words), lost (has replacement characters), ev: array of chain and gain."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[doc].dataType.simpleString()
+def estimate_priors(ev: DataFrame, sizes: DataFrame, start: DataFrame | None = None, change: float = 0.01, most: int = 30) -> DataFrame:
+    """pool, lps: the M-step's log priors by chain, pooled per source and field with the whole corpus behind them.
 
-    def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        judge = Judge(shared.value)
-        for pdf in it:
-            rows = []
-            for d, s, t in zip(pdf["doc"], pdf["source"], pdf["text"]):
-                ws = odd_words(t)
-                ev = sorted(((g[0], _chain_key(c)) for c, g in judge.record(ws).items() if g[0] > LEAST_GAIN), reverse=True)[:40]
-                lost = "�" in t
-                if ev or lost:
-                    rows.append((d, s, len(ws), lost, [{"chain": c, "gain": g} for g, c in ev]))
-            yield pd.DataFrame(rows, columns=["doc", "source", "odd", "lost", "ev"])
+    Rounds go on until no prior of a chain that anyone has changes by more than `change`, at most `most`. The weights are
+    pre-aggregated before the shuffle; nothing but the largest change comes to the driver. A pool's map has one entry per
+    chain that occurs in it.
+    """
+    pri = start
+    everyone = sizes.agg(F.sum("n").alias("n_all"))
+    for _ in range(most):
+        e = _odds(ev, pri)
+        e = e.select("pool", *(["lps"] if pri is not None else []), F.explode(F.arrays_zip(F.col("ev.chain").alias("chain"), F.transform("o", lambda x: x / F.col("z")).alias("w"))).alias("x"))
+        was = F.max(F.col("lps")[F.col("x.chain")]) if pri is not None else F.lit(None).cast("double")
+        mass = e.groupBy("pool", F.col("x.chain").alias("chain")).agg(F.sum("x.w").alias("m"), was.alias("was"))
+        mass = stage(mass, "encoding-mass")
+        back = mass.groupBy("chain").agg(F.sum("m").alias("back"))
+        rows = mass.join(back, "chain").join(sizes, "pool").crossJoin(F.broadcast(everyone))  # one row
+        share = (F.col("m") + 20 * (F.col("back") + 1e-3) / (F.col("n_all") + 1)) / (F.col("n") + 20)
+        rows = rows.select("pool", "chain", F.log(share).alias("lp"), "was", "m")
+        pri = stage(rows.groupBy("pool").agg(F.map_from_entries(F.collect_list(F.struct("chain", "lp"))).alias("lps"), F.max(F.when(F.col("m") > 0.5, F.abs(F.col("lp") - F.coalesce("was", F.lit(0.0))))).alias("moved")), "encoding-priors")
+        if (pri.agg(F.max("moved")).first()[0] or 0.0) <= change:
+            break
+    return pri
 
-    base = docs.select(F.col(doc).alias("doc"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"))
-    return base.mapInPandas(work, f"doc {kind}, source string, odd int, lost boolean, ev array<struct<chain: string, gain: double>>")
 
+def _garbled_words(ev: DataFrame, pri: DataFrame | None) -> DataFrame:
+    """word, n: the odd words of passages that are rather garbled than not: those of chains that do so alone, and where
+    only several together do, the best one's."""
+    e = _odds(ev, pri).where(F.col("z") > 2)
+    z = F.arrays_zip(F.col("o"), F.col("ev.a").alias("a"), F.col("ev.b").alias("b"))
+    e = e.select("ws", z.alias("s"), F.array_max("o").alias("top"))
+    alone = F.filter("s", lambda x: (x["o"] > 1) | ((F.col("top") <= 1) & (x["o"] == F.col("top"))))
+    e = e.select("ws", alone.alias("s"))
+    inside = F.filter("ws", lambda w, i: F.exists("s", lambda x: (x["a"] <= i) & (i <= x["b"])))
+    return e.select(F.explode(inside).alias("word")).groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("n"))
 
-def _with_priors(ev: DataFrame, pri: DataFrame | None) -> DataFrame:
-    """doc, source, chain, gain, w: each chain's weight in its record, by its prior and its gain; clean has the rest."""
-    e = ev.select("doc", "source", "odd", F.explode("ev").alias("e")).select("doc", "source", "odd", "e.*")
-    if pri is None:
-        e = e.withColumn("lp", F.lit(math.log(FIRST_PRIOR)))
-    else:
-        e = e.join(F.broadcast(pri), ["source", "chain"], "left").withColumn("lp", F.coalesce("lp", F.lit(math.log(FIRST_PRIOR / 100))))
-    # the place of a passage costs what it takes to name it among the record's odd words
-    e = e.withColumn("odds", F.exp(F.least(F.lit(500.0), F.col("lp") + F.col("gain") - F.log(F.col("odd") + F.lit(0.0)))))
-    return e
 
+@dataclass
+class Fitted:
+    """What expectation-maximisation found: the evidence by the last model, priors, and the model."""
+
+    odd: DataFrame
+    ev: DataFrame
+    pri: DataFrame
+    model: CharModel
+
+
+def _fit(docs: DataFrame, doc: str, text: Sequence[str], source: str, rounds: int = 2) -> Fitted:
+    odd = _odd_words(docs, doc, text, source)
+    sizes = stage(odd.groupBy("pool").agg(F.count(F.lit(1)).alias("n")), "encoding-sizes")
+    vocabulary = stage(odd.select(F.explode("ws").alias("word")).where(~F.col("word").contains("\ufffd")).groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("n")), "encoding-vocabulary")
+    every = _model(vocabulary)
+    model, pri = _model(_first_words(vocabulary)), None
+    ev = stage(_evidence(odd, model), "encoding-evidence")
+    # from the second time on with pooled priors, so that passages of weak evidence don't teach the model that they are clean
+    for _ in range(rounds):
+        model = every.less(_model(_garbled_words(ev, pri).where(~F.col("word").contains("\ufffd"))))
+        ev = stage(_evidence(odd, model), "encoding-evidence")
+        pri = estimate_priors(ev, sizes, pri)
+    return Fitted(odd, ev, pri, model)
 
-def _posteriors(ev: DataFrame, pri: DataFrame | None) -> DataFrame:
-    e = _with_priors(ev, pri)
-    g = e.groupBy("doc", "source").agg((1 + F.sum("odds")).alias("z"), F.max_by("chain", "odds").alias("best"), F.sum("odds").alias("o"))
-    return g.select("doc", "source", "best", (F.col("o") / F.col("z")).alias("p"))
 
+def _fields(text: str | Sequence[str]) -> list[str]:
+    return [text] if isinstance(text, str) else list(text)
 
-def estimate_priors(ev: DataFrame, sizes: DataFrame, rounds: int = 4) -> DataFrame:
-    """source, chain, lp: the M-step's priors, pooled per source with the whole corpus behind them.
 
-    What comes together is a number per source and chain that occurs, pre-aggregated before the shuffle.
-    """
-    pri = None
-    for _ in range(rounds):
-        e = _with_priors(ev, pri)
-        z = Window.partitionBy("doc")
-        e = e.withColumn("w", F.col("odds") / (1 + F.sum("odds").over(z)))
-        mass = e.groupBy("source", "chain").agg(F.sum("w").alias("m"))
-        rows = mass.join(sizes, "source", "left").collect()
-        n_all = sum({r["source"]: r["n"] or 1 for r in rows}.values()) or 1
-        pooled: dict[str, float] = {}
-        for r in rows:
-            pooled[r["chain"]] = pooled.get(r["chain"], 0.0) + r["m"]
-        out = []
-        for r in rows:
-            back = (pooled[r["chain"]] + 1e-3) / (n_all + 1)
-            out.append((r["source"], r["chain"], math.log(min(MOST_PRIOR, (r["m"] + 20 * back) / ((r["n"] or 1) + 20)))))
-        pri = ev.sparkSession.createDataFrame(out, "source string, chain string, lp double")
-    return pri if pri is not None else ev.sparkSession.createDataFrame([], "source string, chain string, lp double")
-
-
-def _usable(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    return docs.where(F.col(doc).isNotNull() & F.col(text).rlike(r"[^\x00-\x7F]"))
-
-
-def _fit(docs: DataFrame, doc: str, text: str, source: str) -> tuple[DataFrame, DataFrame, CharModel]:
-    base = _usable(docs, doc, text)
-    sizes = base.groupBy(F.coalesce(F.col(source), F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
-    model, pri = _first_model(base, text), None
-    # the second time with pooled priors, so that passages of weak evidence don't teach the model to take them for clean
-    for _ in range(2):
-        model = _clean_model(base, text, source, model, pri)
-        ev = stage(_evidence(base, doc, text, source, model), "encoding-evidence")
-        pri = estimate_priors(ev, sizes)
-    return ev, pri, model
-
-
-def find_garbled(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", least: float = 0.5) -> DataFrame:
+def find_garbled(docs: DataFrame, doc: str = "doc_id", text: str | Sequence[str] = "text", source: str = "source", least: float = 0.5) -> DataFrame:
     """doc, chain, p: records that were decoded wrongly, wholly or in a passage, with the likeliest chain.
 
     A record with replacement characters has lost text for good; it is given with a null chain if no chain explains it.
     Texts that are null, empty or pure ASCII are clean. A null source is a source of its own. Records without an id are
-    left out; an id that occurs twice is given once. Whole texts are read.
+    left out; an id that occurs twice is given once. Whole texts are read. text: one or several columns, of which each
+    has its own priors.
     """
-    ev, pri, _ = _fit(docs, doc, text, source)
-    post = _posteriors(ev, pri).where(F.col("p") >= least)
-    named = post.select("doc", F.col("best").alias("chain"), "p")
-    lost = ev.where("lost").select("doc", F.lit(None).cast("string").alias("chain"), F.lit(1.0).alias("p"))
+    f = _fit(docs, doc, _fields(text), source)
+    post = _odds(f.ev, f.pri).withColumn("p", 1 - 1 / F.col("z")).where(F.col("p") >= least)
+    best = F.array_max(F.arrays_zip(F.col("o"), F.col("ev.chain").alias("chain")))["chain"]
+    named = post.select("doc", best.alias("chain"), "p")
+    lost = f.ev.where("lost").select("doc", F.lit(None).cast("string").alias("chain"), F.lit(1.0).alias("p"))
     return named.unionByName(lost).groupBy("doc").agg(F.max_by("chain", F.struct(F.col("chain").isNotNull(), "p")).alias("chain"), F.max("p").alias("p")).withColumnRenamed("doc", doc)
 
 
-def restore(text: str, judge: Judge, prior, least: float = 0.0, rounds: int = 4) -> tuple[str, list[str]]:
-    """The text with its garbled passages undone, and the chains; passages are taken one after the other."""
+def restore(text: str, judge: Judge, prior: Callable[[str], float], least: float = 0.0) -> tuple[str, list[str]]:
+    """The text with its garbled passages undone, and the chains; passages are taken one after the other, until none is
+    left. Ends in any case: a text that was there before isn't taken again."""
     done: list[str] = []
-    for _ in range(rounds):
+    met = {text}
+    while True:
         parts = re.split(r"([ \t\r\n]+)", text)
         odd = [i for i, w in enumerate(parts) if not w.isascii()]
-        weighed = _weighed(judge, [parts[i] for i in odd], prior)
+        weighed = _weighed(judge, [parts[i] for i in odd], prior) if odd else []
         if not _likely(weighed, least):
             break
         _, c, a, b = max(weighed)
@@ -425,28 +425,36 @@ def restore(text: str, judge: Judge, prior, least: float = 0.0, rounds: int = 4)
             if w is not None:
                 parts[i] = w
         text = "".join(parts)
+        if text in met:
+            break
+        met.add(text)
         done.append(chain_name(c))
     return text, done
 
 
 def restore_garbled(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc, text, chains, lost: each garbled record with its text restored; lost: part of it can't be restored."""
-    ev, pri, model = _fit(docs, doc, text, source)
-    hit = _posteriors(ev, pri).where(F.col("p") >= 0.5).select("doc", "source").unionByName(ev.where("lost").select("doc", "source")).distinct()
+    """doc, text, chains, lost: each garbled record with its text restored; lost: part of it can't be restored.
+
+    An id whose rows have different garbled texts is given once for each of them; equal rows once.
+    """
+    f = _fit(docs, doc, [text], source)
+    hit = _odds(f.ev, f.pri).where((F.col("z") >= 2) | F.col("lost")).select("doc", "pool").distinct()
+    hit = hit.join(f.pri.select("pool", F.map_entries("lps").alias("lps")), "pool", "left").withColumn("source", F.substring_index("pool", "\x01", 1))
     kind = docs.schema[doc].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast((model, _log_priors(pri)))
-    base = _usable(docs, doc, text).select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(f.model)
+    base = docs.where(F.col(text).rlike(r"[^\x00-\x7F]")).select(F.col(doc).alias("doc"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("text"))
 
     def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, lp = shared.value
-        judge = Judge(m)
+        judge = Judge(shared.value)
+        new = math.log(FIRST_PRIOR / 100)
         for pdf in it:
             rows = []
-            for d, s, t in zip(pdf["doc"], pdf["source"], pdf["text"]):
-                fixed, chains = restore(t, judge, lambda c, s=s: lp(s, c))
-                rows.append((d, fixed, chains, "�" in fixed))
+            for d, t, lps in zip(pdf["doc"], pdf["text"], pdf["lps"]):
+                known = {x["key"]: x["value"] for x in lps} if lps is not None else {}
+                fixed, chains = restore(t, judge, lambda c, known=known: known.get(c, new))
+                rows.append((d, fixed, chains, "\ufffd" in fixed))
             yield pd.DataFrame(rows, columns=["doc", "text", "chains", "lost"])
 
-    out = base.join(hit, "doc").mapInPandas(work, f"doc {kind}, text string, chains array<string>, lost boolean")
+    out = base.join(hit.select("doc", "source", "lps"), ["doc", "source"]).dropDuplicates(["doc", "text"])
+    out = out.select("doc", "text", "lps").mapInPandas(work, f"doc {kind}, text string, chains array<string>, lost boolean")
     return out.withColumnRenamed("doc", doc)
-
