@@ -45,7 +45,7 @@ CANNOT = -12.0
 #: Prior of each chain before anything is known; a chain that is new to a source starts from a hundredth of it.
 FIRST_PRIOR = 1e-4
 #: Words of which a task remembers what a model says.
-MEMO = 50_000
+MEMO = 30_000
 _SPACE = re.compile(r"[ \t\r\n]+")
 _CODEC: dict[str, tuple[str, object]] = {}
 
@@ -324,29 +324,28 @@ def _odds(ev: DataFrame, pri: DataFrame | None) -> DataFrame:
     return ev.withColumn("z", 1 + F.aggregate("o", F.lit(0.0), lambda s, x: s + x))
 
 
-def estimate_priors(ev: DataFrame, sizes: DataFrame, start: DataFrame | None = None, change: float = 0.01, most: int = 30) -> DataFrame:
+def estimate_priors(ev: DataFrame, sizes: DataFrame, start: DataFrame | None = None, change: float = 0.05, most: int = 30) -> DataFrame:
     """pool, lps: the M-step's log priors by chain, pooled per source and field with the whole corpus behind them.
 
-    Rounds go on until no prior of a chain that anyone has changes by more than `change`, at most `most`. The weights are
-    pre-aggregated before the shuffle; nothing but the largest change comes to the driver. A pool's map has one entry per
-    chain that occurs in it.
+    Rounds go on until no prior of a chain that anyone has changes by more than `change` in its logarithm, at most `most`.
+    The weights are pre-aggregated before the shuffle; nothing but the largest change comes to the driver. A pool's map
+    has one entry per chain that occurs in it.
     """
     pri = start
-    everyone = sizes.agg(F.sum("n").alias("n_all"))
+    n_all = sizes.agg(F.sum("n")).first()[0] or 1
     for _ in range(most):
         e = _odds(ev, pri)
+        was = F.col("lps")[F.col("x.chain")] if pri is not None else F.lit(None).cast("double")
         e = e.select("pool", *(["lps"] if pri is not None else []), F.explode(F.arrays_zip(F.col("ev.chain").alias("chain"), F.transform("o", lambda x: x / F.col("z")).alias("w"))).alias("x"))
-        was = F.max(F.col("lps")[F.col("x.chain")]) if pri is not None else F.lit(None).cast("double")
-        mass = e.groupBy("pool", F.col("x.chain").alias("chain")).agg(F.sum("x.w").alias("m"), was.alias("was"))
-        mass = stage(mass, "encoding-mass")
+        mass = stage(e.groupBy("pool", F.col("x.chain").alias("chain")).agg(F.sum("x.w").alias("m"), F.max(was).alias("was")), "encoding-mass")
         back = mass.groupBy("chain").agg(F.sum("m").alias("back"))
-        rows = mass.join(back, "chain").join(sizes, "pool").crossJoin(F.broadcast(everyone))  # one row
-        share = (F.col("m") + 20 * (F.col("back") + 1e-3) / (F.col("n_all") + 1)) / (F.col("n") + 20)
-        rows = rows.select("pool", "chain", F.log(share).alias("lp"), "was", "m")
-        pri = stage(rows.groupBy("pool").agg(F.map_from_entries(F.collect_list(F.struct("chain", "lp"))).alias("lps"), F.max(F.when(F.col("m") > 0.5, F.abs(F.col("lp") - F.coalesce("was", F.lit(0.0))))).alias("moved")), "encoding-priors")
-        if (pri.agg(F.max("moved")).first()[0] or 0.0) <= change:
+        share = (F.col("m") + 20 * (F.col("back") + 1e-3) / (n_all + 1)) / (F.col("n") + 20)
+        rows = mass.join(back, "chain").join(sizes, "pool").select("pool", "chain", F.log(share).alias("lp"), "was", "m")
+        moved = rows.where(F.col("m") > 0.5).agg(F.max(F.abs(F.col("lp") - F.coalesce("was", F.lit(0.0))))).first()[0]
+        pri = rows.groupBy("pool").agg(F.map_from_entries(F.collect_list(F.struct("chain", "lp"))).alias("lps"))
+        if (moved or 0.0) <= change:
             break
-    return pri
+    return stage(pri, "encoding-priors")
 
 
 def _garbled_words(ev: DataFrame, pri: DataFrame | None) -> DataFrame:

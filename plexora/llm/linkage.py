@@ -59,14 +59,16 @@ def name_levels(a: Column, b: Column) -> Column:
     s, t = F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)
     s = F.when((F.size(s) > 1) & (F.element_at(s, -1) == "and"), F.slice(s, F.lit(1), F.size(s) - 1)).otherwise(s)
     every = lambda p, q: F.forall(F.zip_with(p, q, _close), lambda z: z)
+    # all but the comparison of the whole names need first words that are close, which few pairs have
+    opens = _close(F.get(a, F.lit(0)), F.get(b, F.lit(0)))
     start = every(s, F.slice(t, F.lit(1), F.size(s)))
-    ends = (F.size(s) >= 2) & _close(F.get(s, F.lit(0)), F.get(t, F.lit(0))) & _close(F.element_at(s, -1), F.element_at(t, -1))
-    ends = ends & F.forall(s, lambda p: F.exists(t, lambda q: _close(p, q)))
-    misspelt = ((F.size(a) == F.size(b)) & every(a, b)) | ((F.least(F.length(x), F.length(y)) > 7) & _errors(x, y, 2))
+    ends = (F.size(s) >= 2) & _close(F.element_at(s, -1), F.element_at(t, -1)) & F.forall(s, lambda p: F.exists(t, lambda q: _close(p, q)))
+    whole = (F.least(F.length(x), F.length(y)) > 7) & _errors(x, y, 2)
+    misspelt = whole | (opens & (F.size(a) == F.size(b)) & every(a, b))
     word = F.arrays_overlap(F.filter(a, lambda w: F.length(w) > 3), b)
     return (
         F.when(F.coalesce(F.size(a), F.lit(0)) < 1, -1).when(F.coalesce(F.size(b), F.lit(0)) < 1, -1)
-        .when(x == y, 4).when(misspelt, 3).when((F.size(s) < F.size(t)) & (start | ends), 2).when(word, 1).otherwise(0)
+        .when(x == y, 4).when(misspelt, 3).when(opens & (F.size(s) < F.size(t)) & (start | ends), 2).when(word, 1).otherwise(0)
     )
 
 
