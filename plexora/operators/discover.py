@@ -60,35 +60,32 @@ class Reading:
     gems_only: bool = False
 
 
+#: What a phrase means, in the order in which phrases are read: pattern, note, filters it sets, and a group of which the
+#: first phrase found counts. Phrases of no group stand for themselves.
+PHRASES: tuple[tuple[str, str, dict[str, object], str | None], ...] = (
+    (CHEAP, "Budget-friendly", {"price_levels": ["$", "$$"]}, "price"),
+    (UPSCALE, "Upscale", {"price_levels": ["$$$", "$$$$"]}, "price"),
+    (OPEN, "Open now", {"open_now": True}, None),
+    (TOP, "Top-rated", {"rating_gte": TOP_RATING}, None),
+    (GEMS, "Hidden gems", {}, None),
+)
+
+
 def interpret(raw: str) -> Reading:
     """Amenities are read and kept in the text; price, opening, rating and gem phrases are read and taken out.
 
     A query of nothing but constraints keeps its own words as text, unless it asks for gems only.
     """
-    f, notes, text, gems = Filters(), [], f" {raw} ", False
-    for rx, amenity, note in AMENITIES:
-        if re.search(rx, text, re.I):
-            f.amenities.append(amenity)
-            notes.append(note)
-
-    def take(rx: str, note: str) -> bool:
-        nonlocal text
-        if not re.search(rx, text, re.I):
-            return False
-        text = re.sub(rx, " ", text, count=1, flags=re.I)
-        notes.append(note)
-        return True
-
-    if take(CHEAP, "Budget-friendly"):
-        f.price_levels = ["$", "$$"]
-    elif take(UPSCALE, "Upscale"):
-        f.price_levels = ["$$$", "$$$$"]
-    f.open_now = take(OPEN, "Open now")
-    if take(TOP, "Top-rated"):
-        f.rating_gte = TOP_RATING
-    gems = take(GEMS, "Hidden gems")
-    rest = " ".join(text.split())
-    return Reading(rest or ("" if gems else raw.strip()), f, notes, gems)
+    text, settled, said = f" {raw} ", set(), []
+    wanted = [(amenity, note) for rx, amenity, note in AMENITIES if re.search(rx, text, re.I)]
+    values: dict[str, object] = {"amenities": [a for a, _ in wanted]}
+    for rx, note, sets, group in PHRASES:
+        rest, hits = re.subn(rx, " ", text, count=1, flags=re.I)
+        if hits and group not in settled:
+            text, said, values = rest, [*said, note], {**values, **sets}
+            settled |= {group} - {None}
+    gems, plain = "Hidden gems" in said, " ".join(text.split())
+    return Reading(plain or ("" if gems else raw.strip()), Filters(**values), [*(n for _, n in wanted), *said], gems)
 
 
 def reading_of_answer(answer: Mapping[str, object]) -> Reading:
