@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plexora.scale import ranged
+
 
 def flow_metrics(transfers: DataFrame, key: str = "symbol") -> DataFrame:
     """Per key: sample_size, circularity, net_volume, senders, receivers, counterparties, sender_hhi, quantization,
@@ -28,8 +30,7 @@ def flow_metrics(transfers: DataFrame, key: str = "symbol") -> DataFrame:
     total = t.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("gross"))
     sizes = t.where(F.col("v") > 0).groupBy("k", F.round("v", 8).alias("q")).agg(F.count(F.lit(1)).alias("c"))
     quant = sizes.groupBy("k").agg((F.max("c") / F.sum("c")).alias("quant"))
-    gap = t.where(F.col("ts").isNotNull()).withColumn("gap", F.col("ts") - F.lag("ts").over(Window.partitionBy("k").orderBy("ts")))
-    pace = gap.groupBy("k").agg(F.count("gap").alias("gaps"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("sd"))
+    pace = gaps(t.where(F.col("ts").isNotNull()).select("k", "ts"))
     j = total.join(by_wallet, "k", "left").join(quant, "k", "left").join(pace, "k", "left")
     circ = F.when(F.col("gross") > 0, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.coalesce("net", F.lit(0.0)) / F.col("gross"))), 4))
     hhi = F.when(F.col("all_sent") > 0, F.round(F.col("sq") / (F.col("all_sent") * F.col("all_sent")), 4))
@@ -51,6 +52,20 @@ def flow_metrics(transfers: DataFrame, key: str = "symbol") -> DataFrame:
     return m.withColumn("data_quality", quality)
 
 
+def gaps(moments: DataFrame) -> DataFrame:
+    """k, gaps, mean, sd: number, mean and population deviation of the gaps between a key's consecutive moments (k, ts).
+
+    Moments are sorted over all tasks; gaps are taken within each sorted piece of a key, and those between two pieces from
+    the pieces' ends, so that a key may hold any share of the rows.
+    """
+    m = ranged(moments, ["k"], [F.col("ts")], "gaps")
+    inner = m.select("k", (F.col("ts") - F.lag("ts").over(Window.partitionBy("k", "__part").orderBy("ts"))).alias("gap"))
+    ends = m.groupBy("k", "__part").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    between = ends.select("k", (F.col("a") - F.lag("b").over(Window.partitionBy("k").orderBy("__part"))).alias("gap"))
+    every = inner.unionByName(between)
+    return every.groupBy("k").agg(F.count("gap").alias("gaps"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("sd"))
+
+
 def holder_metrics(balances: DataFrame, key: str, balance: str, holders: str, complete: str) -> DataFrame:
     """Per key: active_holders, lower_bound, dust_share (of all holders), top_share (of the active balance)."""
     g = balances.groupBy(key).agg(

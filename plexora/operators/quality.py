@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plexora.scale import numbered
+
 #: Prior mean of a rating and its weight in reviews, and the number of reviews at which a place is known.
 PRIOR, PRIOR_REVIEWS, KNOWN = 3.8, 12, 1500
 
@@ -86,19 +88,25 @@ def weight(kind: Column, rating: Column, reviews: Column, past: Column, image: C
 
 def tile_sizes(points: DataFrame, shelf: str, weight_col: str, x: str) -> DataFrame:
     """shelf, id, size, place: the first by weight is a hero, the next two large, the last 35 per cent small; in order of x."""
-    by = Window.partitionBy(shelf).orderBy(F.desc(weight_col), "id")
-    i, n = F.row_number().over(by) - 1, F.count(F.lit(1)).over(Window.partitionBy(shelf))
+    t = points.select(shelf, "id", weight_col, F.col(x).alias("__x"))
+    t = numbered(t, [shelf], [F.desc(weight_col), F.col("id")], "__i", "__n")
+    i, n = F.col("__i") - 1, F.col("__n")
     size = F.when(i == 0, "hero").when(i <= 2, "lg").when(i >= n * 0.65, "sm").otherwise("md")
-    t = points.select(shelf, "id", size.alias("size"), F.col(x).alias("__x"))
-    return t.select(shelf, "id", "size", F.row_number().over(Window.partitionBy(shelf).orderBy("__x", "id")).alias("place"))
+    t = t.select(shelf, "id", size.alias("size"), "__x")
+    return numbered(t, [shelf], [F.col("__x").asc_nulls_first(), F.col("id")], "place").select(shelf, "id", "size", "place")
+
+
+def roll(rows: DataFrame, group: str, order: Sequence[str], size: int) -> DataFrame:
+    """rows with place and shard: rows rolled into parts of `size` within each group, in a total order."""
+    n = numbered(rows, [group], [F.col(c) for c in order], "__n")
+    return n.withColumn("place", (F.col("__n") - 1).cast("bigint")).withColumn("shard", F.floor((F.col("__n") - 1) / size)).drop("__n")
 
 
 def geo_rows(points: DataFrame, shelf: str, cols: int) -> DataFrame:
     """shelf, id, place: bands of `cols` points from north to south, each from west to east; no position comes last."""
-    n = F.row_number().over(Window.partitionBy(shelf).orderBy(F.col("lat").desc_nulls_last(), "id")) - 1
-    b = points.select(shelf, "id", "lon", F.when(F.col("lat").isNull(), 1).otherwise(0).alias("__none"), F.floor(n / cols).alias("band"))
-    w = Window.partitionBy(shelf).orderBy("__none", "band", "lon", "id")
-    return b.select(shelf, "id", F.row_number().over(w).alias("place"))
+    t = numbered(points.select(shelf, "id", "lat", "lon"), [shelf], [F.col("lat").desc_nulls_last(), F.col("id")], "__i")
+    b = t.select(shelf, "id", "lon", F.when(F.col("lat").isNull(), 1).otherwise(0).alias("__none"), F.floor((F.col("__i") - 1) / cols).alias("band"))
+    return numbered(b, [shelf], [F.col("__none"), F.col("band"), F.col("lon"), F.col("id")], "place").select(shelf, "id", "place")
 
 
 def shelves(points: DataFrame, group: str, least: int = 3, sinks: Sequence[str] = ("Other", "No location")) -> DataFrame:

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key is heavy when it holds at least this share of all rows; so there are at most 1 / HEAVY_SHARE heavy keys.
@@ -112,3 +112,35 @@ def _lookup(values: dict, key: Column) -> Column:
     for k, v in values.items():
         pairs += [F.lit(k), F.lit(int(v))]
     return F.create_map(*pairs)[key].cast("int")
+
+
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """df sorted by keys and order over all tasks, staged, with __part, the number of the sorted piece a row lies in.
+
+    A key of very many rows is spread over many pieces, as the order takes part in the cut. So what a window by key would
+    do in one task per key can be done per (key, __part), with what a piece must know of those before it carried over.
+    order: total, or ties may be placed in any order.
+    """
+    cols = [F.col(k) for k in keys] + list(order)
+    return stage(df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("__part", F.spark_partition_id()), name)
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, total: str | None = None) -> DataFrame:
+    """df with the row's number within its keys (from 1) and, if asked for, the number of rows of its keys.
+
+    Like row_number over a window by key, but for keys that may hold a third of all rows: each sorted piece is numbered by
+    itself, and a table of one row per key and piece carries the counts over. Keys may be null.
+    """
+    d = ranged(df, keys, order, "numbered")
+    own = Window.partitionBy(*keys, "__part").orderBy(*order)
+    n = d.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    every = Window.partitionBy(*keys)
+    before = every.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    n = n.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(every).alias("__all"))
+    on = F.col("__part") == F.col("__p")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    j = d.join(n, on, "left").withColumn(out, F.row_number().over(own) + F.col("__before"))
+    if total:
+        j = j.withColumn(total, F.col("__all"))
+    return j.drop("__part", "__p", "__before", "__all", *[f"__{k}" for k in keys])
