@@ -28,6 +28,10 @@ ROW = "track_id string, fields string, embedding array<float>, owner string, met
 EDGE = "rel string, src string, dst string, src_type string, dst_type string"
 
 
+#: Most entity types that a manifest lists.
+MAX_TYPES = 10_000
+
+
 def _open(path: str) -> tuple[afs.FileSystem, str]:
     if "://" not in path and not path.startswith("file:"):
         return afs.LocalFileSystem(), path
@@ -51,6 +55,12 @@ def _write(path: str, data: bytes) -> None:
     f.move(p + ".tmp", p)
 
 
+def remove_folder(path: str) -> None:
+    f, p = _open(path)
+    if f.get_file_info(p).type == afs.FileType.Directory:
+        f.delete_dir(p)
+
+
 def read_json(path: str, default: Any = None) -> Any:
     """A small JSON document; the default if it is missing or can't be read."""
     raw = _read(path)
@@ -124,7 +134,9 @@ def domain_filter(points: DataFrame, spec: Mapping[str, Any] | None) -> DataFram
 
 
 def _type_counts(points: DataFrame) -> dict[str, int]:
-    rows = points.where(F.coalesce("entity_type", F.lit("")) != "").groupBy("entity_type").count().orderBy(F.desc("count"), "entity_type").limit(10_000).collect()
+    rows = points.where(F.coalesce("entity_type", F.lit("")) != "").groupBy("entity_type").count().limit(MAX_TYPES + 1).collect()
+    if len(rows) > MAX_TYPES:
+        raise ValueError(f"more than {MAX_TYPES} entity types: the manifest can't list them")
     return {r[0]: r[1] for r in rows}
 
 
@@ -272,14 +284,15 @@ def tombstone(spark: SparkSession, root: str, name: str, ids: Sequence[str]) ->
     manifest["tombstones"] = sorted(dead | added)
     write_json(path, manifest)
     edges = read_edges(spark, root, name)
-    before = edges.count()
+    before = _edge_count(manifest)
     gone = spark.createDataFrame([(d,) for d in manifest["tombstones"]], "id string")
+    kept = edges
     for end in ("src", "dst"):
-        edges = edges.join(gone.withColumnRenamed("id", end), end, "left_anti")
-    kept = edges.collect() if before else []
-    if before != len(kept):
-        _write_edges(root, name, [r.asDict() for r in kept])
-    return {"added": len(added), "total": len(manifest["tombstones"]), "edges_pruned": before - len(kept)}
+        kept = kept.join(gone.withColumnRenamed("id", end), end, "left_anti")
+    touched = before and not edges.join(kept.select("seq"), "seq", "left_anti").isEmpty()
+    if touched:
+        _publish_edges(root, name, write_edge_shards(kept, f"{root}/{name}", 0))
+    return {"added": len(added), "total": len(manifest["tombstones"]), "edges_pruned": before - _edge_count(read_json(path)) if touched else 0}
 
 
 def edge_rows(data: Any, need_rel: bool = True) -> list[tuple]:
@@ -293,45 +306,160 @@ def edge_rows(data: Any, need_rel: bool = True) -> list[tuple]:
     return out
 
 
+def _edge_count(manifest: Mapping[str, Any]) -> int:
+    return sum(e["count"] for e in manifest.get("edge_shards") or [])
+
+
 def read_edges(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The domain's edges with their place in the list; none if there is no edge file."""
-    rows = edge_rows(read_json(f"{root}/{name}/edges.json", []))
-    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], EDGE + ", seq bigint")
+    """The domain's edges with their place in the list (seq); none if there are no edge shards. Each task reads shards."""
+    entries = (read_json(f"{root}/{name}/manifest.json") or {}).get("edge_shards") or []
+    out = EDGE + ", seq bigint"
+    if not entries:
+        return spark.createDataFrame([], out)
+    listed = spark.createDataFrame([(i, f"{root}/{name}/{e['file']}", e["sha256"]) for i, e in enumerate(entries)], "no int, path string, sha256 string")
+
+    def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for no, path, digest in pdf.itertuples(index=False):
+                data = _read(path)
+                if data is None or hashlib.sha256(data).hexdigest() != digest:
+                    raise OSError(f"{path} is missing or was changed")
+                rows = edge_rows([json.loads(x) for x in gzip.decompress(data).splitlines()])
+                yield pd.DataFrame([(*r, (no << 32) + i) for i, r in enumerate(rows)], columns=["rel", "src", "dst", "src_type", "dst_type", "seq"])
+
+    return listed.repartition(len(entries)).mapInPandas(work, out)
+
+
+def write_edge_shards(edges: DataFrame, folder: str, first: int, shard_size: int = 100_000) -> list[dict[str, Any]]:
+    """Writes edges (EDGE and seq) in the order of seq as gzipped line JSON, a shard per task and shard_size; returns their
+    manifest entries. Only these come to the driver."""
+    names = (("rel", "rel"), ("src", "from"), ("dst", "to"), ("src_type", "fromType"), ("dst_type", "toType"))
+
+    def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[str] = []
+        rels: set[str] = set()
+        piece, no = 0, 0
+
+        def flush() -> pd.DataFrame:
+            buf = io.BytesIO()
+            with gzip.GzipFile(fileobj=buf, mode="wb", mtime=0) as g:
+                g.write("".join(held).encode())
+            data = buf.getvalue()
+            digest = hashlib.sha256(data).hexdigest()
+            file = f"edges-{digest[:16]}.ndjson.gz"
+            _write(f"{folder}/{file}", data)
+            return pd.DataFrame([(piece, no, file, len(held), len(data), digest, sorted(rels))], columns=["piece", "no", "file", "count", "bytes", "sha256", "rels"])
+
+        for pdf in it:
+            for r in pdf.itertuples(index=False):
+                piece = r.piece
+                rels.add(r.rel)
+                held.append(json.dumps({b: getattr(r, a) for a, b in names if getattr(r, a) is not None}, separators=(",", ":")) + "\n")
+                if len(held) >= shard_size:
+                    yield flush()
+                    held, rels, no = [], set(), no + 1
+        if held:
+            yield flush()
+
+    placed = edges.repartitionByRange("seq").sortWithinPartitions("seq").withColumn("piece", F.spark_partition_id())
+    done = placed.mapInPandas(work, "piece int, no int, file string, count bigint, bytes bigint, sha256 string, rels array<string>").collect()
+    keep = ("file", "count", "bytes", "sha256", "rels")
+    return [{"no": first + i, **{k: list(r[k]) if k == "rels" else r[k] for k in keep}} for i, r in enumerate(sorted(done, key=lambda r: (r["piece"], r["no"])))]
+
+
+def _publish_edges(root: str, name: str, entries: list[dict[str, Any]]) -> None:
+    """Names the edge shards in the manifest, and their count and relations in the catalog."""
+    manifest = read_json(f"{root}/{name}/manifest.json")
+    manifest["edge_shards"] = entries
+    write_json(f"{root}/{name}/manifest.json", manifest)
+    _sync(root, manifest, edge_count=_edge_count(manifest), relations=sorted({r for e in entries for r in e["rels"]}))
 
 
-def _write_edges(root: str, name: str, rows: Sequence[Mapping[str, Any]]) -> None:
-    names = {"rel": "rel", "src": "from", "dst": "to", "src_type": "fromType", "dst_type": "toType"}
-    edges = [{b: r[a] for a, b in names.items() if r.get(a) is not None} for r in sorted(rows, key=lambda r: r.get("seq") or 0)]
-    rels = sorted({e["rel"] for e in edges})
-    write_json(f"{root}/{name}/edges.json", {"count": len(edges), "relations": rels, "edges": edges})
+def write_edges(edges: DataFrame, root: str, name: str) -> int:
+    """Replaces the domain's edges; returns their number."""
     manifest = read_json(f"{root}/{name}/manifest.json")
-    _sync(root, manifest, edge_count=len(edges), relations=rels)
+    if manifest is None:
+        raise FileNotFoundError(f"domain {name!r} is not baked")
+    manifest["edge_shards"] = []
+    write_json(f"{root}/{name}/manifest.json", manifest)
+    return append_edges(edges, root, name)
 
 
 def append_edges(edges: DataFrame, root: str, name: str) -> int:
-    """Adds edges (EDGE) that aren't there, by relation and ends; returns how many. Adding twice adds nothing."""
+    """Adds edges (EDGE) that aren't there, by relation and ends, as further shards; returns how many. Edges without a
+    relation or an end are left out, of equal new ones the first counts. Adding twice adds nothing, old shards stay as
+    they are."""
     from plexora.operators.sets import merge_keep_order
+    from plexora.scale import stage
 
-    spark = edges.sparkSession
-    if read_json(f"{root}/{name}/manifest.json") is None:
+    manifest = read_json(f"{root}/{name}/manifest.json")
+    if manifest is None:
         raise FileNotFoundError(f"domain {name!r} is not baked")
-    whole = edges.where((F.coalesce("rel", F.lit("")) != "") & (F.coalesce("src", F.lit("")) != "") & (F.coalesce("dst", F.lit("")) != ""))
-    old = read_edges(spark, root, name)
-    n = old.count()
-    new = whole.select("rel", "src", "dst", "src_type", "dst_type", (F.lit(n) + F.monotonically_increasing_id()).alias("seq"))
-    merged = merge_keep_order(old, new, ["rel", "src", "dst"], "seq").orderBy("seq").collect()
-    if len(merged) > n:
-        _write_edges(root, name, [{**r.asDict(), "seq": i} for i, r in enumerate(merged)])
-    return len(merged) - n
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    whole = edges.where(filled("rel") & filled("src") & filled("dst")).select("rel", "src", "dst", "src_type", "dst_type", F.monotonically_increasing_id().alias("seq"))
+    # staged, as ids by place differ between two runs of the same plan
+    new, key = stage(whole, "edges-new"), ["rel", "src", "dst"]
+    fresh = merge_keep_order(new.limit(0), new, key, "seq").join(read_edges(edges.sparkSession, root, name).select(*key), key, "left_anti")
+    old = manifest.get("edge_shards") or []
+    entries = write_edge_shards(fresh, f"{root}/{name}", len(old))
+    if entries:
+        _publish_edges(root, name, [*old, *entries])
+    return sum(e["count"] for e in entries)
+
+
+def pull_domain(spark: SparkSession, root: str, name: str, target: str, tries: int = 5) -> int:
+    """Copies a domain's shards and then its manifest to another folder; returns the number of shards fetched.
+
+    Each task fetches shards of its own. A shard that is there with the right digest isn't fetched again, a part of one is
+    carried on from where it ends; bytes that don't have the manifest's digest are thrown away and fetched anew, at most
+    `tries` times.
+    """
+    manifest = read_json(f"{root}/{name}/manifest.json")
+    if manifest is None:
+        raise FileNotFoundError(f"no domain {name!r}")
+    entries = [*manifest["shards"], *(manifest.get("edge_shards") or [])]
+
+    def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            got = [_fetch(f"{root}/{name}/{f}", f"{target}/{name}/{f}", d, tries) for f, d in zip(pdf["file"], pdf["sha256"])]
+            yield pd.DataFrame({"n": [sum(got)]})
+
+    n = 0
+    if entries:
+        listed = spark.createDataFrame([(e["file"], e["sha256"]) for e in entries], "file string, sha256 string")
+        n = listed.repartition(len(entries)).mapInPandas(work, "n bigint").agg(F.sum("n")).first()[0] or 0
+    write_json(f"{target}/{name}/manifest.json", manifest)
+    return n
+
+
+def _fetch(source: str, target: str, digest: str, tries: int) -> bool:
+    right = lambda data: data is not None and hashlib.sha256(data).hexdigest() == digest
+    if right(_read(target)):
+        return False
+    f, p = _open(source)
+    part = _read(target + ".part") or b""
+    for _ in range(tries):
+        with f.open_input_file(p) as src:
+            src.seek(min(len(part), src.size()))
+            part += src.read()
+        if right(part):
+            _write(target, part)
+            t, q = _open(target + ".part")
+            if t.get_file_info(q).type != afs.FileType.NotFound:
+                t.delete_file(q)
+            return True
+        part = b""
+    raise OSError(f"{source} doesn't have its manifest's digest")
 
 
 def sweep(root: str, name: str) -> int:
     """Removes shard files that the manifest doesn't name; returns how many."""
-    named = {s["file"] for s in read_json(f"{root}/{name}/manifest.json")["shards"]}
+    manifest = read_json(f"{root}/{name}/manifest.json")
+    named = {s["file"] for s in [*manifest["shards"], *(manifest.get("edge_shards") or [])]}
     f, p = _open(f"{root}/{name}")
     n = 0
     for info in f.get_file_info(afs.FileSelector(p)):
-        if info.base_name.startswith("shard-") and info.base_name not in named:
+        if info.base_name.startswith(("shard-", "edges-")) and info.base_name not in named:
             f.delete_file(info.path)
             n += 1
     return n
@@ -343,7 +471,7 @@ def stage_static(root: str, target: str, domains: Sequence[str]) -> int:
     cat = read_json(f"{root}/catalog.json", {"domains": []})
     for d in domains:
         m = read_json(f"{root}/{d}/manifest.json")
-        for name in ["manifest.json", *(s["file"] for s in m["shards"])]:
+        for name in ["manifest.json", *(s["file"] for s in [*m["shards"], *(m.get("edge_shards") or [])])]:
             _write(f"{target}/{d}/{name}", _read(f"{root}/{d}/{name}") or b"")
             n += 1
     write_json(f"{target}/catalog.json", {**cat, "domains": [x for x in cat["domains"] if x["name"] in domains]})

@@ -1,21 +1,23 @@
 """Keeping a graph current from a stream of changes with Structured Streaming.
 
-State is a set of versioned Parquet tables (vertices, edges) in a shared folder, and a pointer that names the version in
-force. A batch writes a new version and then moves the pointer, so that a batch which is replayed after a failure finds
-its work done and does nothing; state is committed after the write, never before.
+State is a set of Parquet tables in a shared folder, a base and the operations of the batches since, and a pointer that
+names those in force. A batch writes its operations and then moves the pointer, so that a batch which is replayed after a
+failure finds its work done and does nothing; state is committed after the write, never before.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from plexora.operators.graph import adjacency
 from plexora.scale import stage
-from plexora.sources.shards import read_json, write_json
+from plexora.sources.shards import read_json, remove_folder, write_json
 
 #: One change per line.
 CHANGE = (
@@ -47,11 +49,17 @@ def _operations(changes: DataFrame, added: str, removed: str, key: list[str], fi
     return both.withColumn("rn", F.row_number().over(w)).where(F.col("rn") == 1).drop("rn", "__b", "__i", "__s", "__p")
 
 
+def operations(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The last operation of a batch on each vertex (cid, schema_id, payload, op) and each edge (src, rel, dst, op)."""
+    v = _operations(changes, "addedVertices", "removedVertexCids", ["cid"], [("cid", "cid"), ("schemaId", "schema_id"), ("payload", "payload")])
+    e = _operations(changes, "addedEdges", "removedEdges", ["src", "rel", "dst"], [("sourceCid", "src"), ("relation", "rel"), ("targetCid", "dst")])
+    return v.where(F.col("cid").isNotNull()).select("cid", "schema_id", "payload", "op"), e.select("src", "rel", "dst", "op")
+
+
 def apply_changes(vertices: DataFrame, edges: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The graph after a batch of changes: per key only the last operation counts; vertices by id, edges by their ends and
     relation. Removing what isn't there does nothing. New edges come after the old ones."""
-    v = _operations(changes, "addedVertices", "removedVertexCids", ["cid"], [("cid", "cid"), ("schemaId", "schema_id"), ("payload", "payload")])
-    e = _operations(changes, "addedEdges", "removedEdges", ["src", "rel", "dst"], [("sourceCid", "src"), ("relation", "rel"), ("targetCid", "dst")])
+    v, e = operations(changes)
     vs = vertices.join(v.select("cid"), "cid", "left_anti").unionByName(v.where("op = 'add'").select("cid", "schema_id", "payload"))
     base = edges.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("__m"))
     fresh = e.where("op = 'add'").select("src", "rel", "dst").join(edges, ["src", "rel", "dst"], "left_anti")
@@ -62,27 +70,86 @@ def apply_changes(vertices: DataFrame, edges: DataFrame, changes: DataFrame) ->
 
 
 class GraphState:
-    """Versioned vertices and edges in a folder."""
+    """Vertices and edges in a folder: a base, the operations of the batches since, and a pointer that names both.
+
+    A batch costs what it changes: its operations are written, and merged with the base when the graph is read. After
+    COMPACT_AFTER batches a new base is written and what it replaces, but for the base before it, is removed.
+    """
+
+    COMPACT_AFTER = 10
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    def _pointer(self) -> dict:
+        return read_json(f"{self.folder}/current.json", {"batch": -1, "base": None, "deltas": []})
+
     def version(self) -> int:
         """The batch that was applied last; -1 before the first."""
-        return int(read_json(f"{self.folder}/current.json", {"batch": -1})["batch"])
+        return int(self._pointer()["batch"])
 
     def tables(self) -> tuple[DataFrame, DataFrame]:
-        n = self.version()
-        if n < 0:
-            return self.spark.createDataFrame([], VERTEX), self.spark.createDataFrame([], EDGE)
-        at = f"{self.folder}/v{n}"
-        return self.spark.read.schema(VERTEX).parquet(f"{at}/vertices"), self.spark.read.schema(EDGE).parquet(f"{at}/edges")
-
-    def commit(self, batch: int, vertices: DataFrame, edges: DataFrame) -> None:
-        at = f"{self.folder}/v{batch}"
-        vertices.write.mode("overwrite").parquet(f"{at}/vertices")
-        edges.write.mode("overwrite").parquet(f"{at}/edges")
-        write_json(f"{self.folder}/current.json", {"batch": batch})
+        """The graph as it is now."""
+        at = self._pointer()
+        return self._merged(at["base"], at["deltas"])
+
+    def _merged(self, base: int | None, deltas: list[int]) -> tuple[DataFrame, DataFrame]:
+        read = lambda part, kind, schema: self.spark.read.schema(schema).parquet(f"{self.folder}/{part}/{kind}")
+        v = self.spark.createDataFrame([], VERTEX) if base is None else read(f"v{base}", "vertices", VERTEX)
+        e = self.spark.createDataFrame([], EDGE) if base is None else read(f"v{base}", "edges", EDGE)
+        if not deltas:
+            return v, e
+        v, e = (d.withColumn("op", F.lit("add")).withColumn("batch", F.lit(-1)) for d in (v, e))
+        for n in deltas:
+            v = v.unionByName(read(f"d{n}", "vertices", VERTEX + ", op string").withColumn("batch", F.lit(n)))
+            e = e.unionByName(read(f"d{n}", "edges", EDGE + ", op string").withColumn("batch", F.lit(n)))
+        last = F.max(F.struct("batch", "op", "schema_id", "payload")).alias("s")
+        vs = v.groupBy("cid").agg(last).where("s.op = 'add'").select("cid", "s.schema_id", "s.payload")
+        # an edge keeps the place that it got when it was added first after its last removal; a key has at most one
+        # operation per batch, so at most COMPACT_AFTER + 1
+        ops = F.array_sort(F.collect_list(F.struct("batch", "op", "seq")))
+        es = e.groupBy("src", "rel", "dst").agg(ops.alias("o")).where(F.element_at("o", -1)["op"] == "add")
+        cut = F.aggregate("o", F.lit(-2), lambda a, x: F.when(x["op"] == "remove", x["batch"]).otherwise(a))
+        es = es.select("src", "rel", "dst", F.get(F.filter("o", lambda x: x["batch"] > cut), F.lit(0))["seq"].alias("seq"))
+        return vs, es
+
+    def prepare(self, batch: int, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Writes a batch's operations aside and returns the graph with them; the pointer stays where it is."""
+        v, e = operations(changes)
+        i = F.monotonically_increasing_id()
+        # batch, task and row in one number, so that later edges come later
+        place = F.lit(batch).cast("bigint") * (1 << 40) + F.shiftright(i, 33) * (1 << 24) + i.bitwiseAND(F.lit((1 << 33) - 1))
+        v.write.mode("overwrite").parquet(f"{self.folder}/d{batch}/vertices")
+        e.withColumn("seq", place).write.mode("overwrite").parquet(f"{self.folder}/d{batch}/edges")
+        at = self._pointer()
+        return self._merged(at["base"], [*at["deltas"], batch])
+
+    def commit(self, batch: int) -> None:
+        """Moves the pointer past a prepared batch."""
+        at = self._pointer()
+        base, deltas = at["base"], [*at["deltas"], batch]
+        gone: list[str] = []
+        if len(deltas) >= self.COMPACT_AFTER:
+            v, e = self._merged(base, deltas)
+            v.write.mode("overwrite").parquet(f"{self.folder}/v{batch}/vertices")
+            e.write.mode("overwrite").parquet(f"{self.folder}/v{batch}/edges")
+            gone = [f"d{n}" for n in at.get("merged", [])] + ([f"v{at['before']}"] if at.get("before") is not None else [])
+            at = {"batch": batch, "base": batch, "deltas": [], "before": base, "merged": deltas}
+        else:
+            at = {**at, "batch": batch, "deltas": deltas}
+        write_json(f"{self.folder}/current.json", at)
+        for part in gone:
+            remove_folder(f"{self.folder}/{part}")
+
+    def reset(self, vertices: DataFrame, edges: DataFrame) -> None:
+        """Full reingest: the state becomes this graph (VERTEX, EDGE), whatever was there. A snapshot without vertices is
+        taken for a failed read and refused."""
+        if vertices.isEmpty():
+            raise ValueError("a snapshot without vertices can't replace the state")
+        n = self.version() + 1
+        vertices.write.mode("overwrite").parquet(f"{self.folder}/v{n}/vertices")
+        edges.write.mode("overwrite").parquet(f"{self.folder}/v{n}/edges")
+        write_json(f"{self.folder}/current.json", {"batch": n, "base": n, "deltas": []})
 
 
 def affected_roots(changes: DataFrame, old_edges: DataFrame, new_edges: DataFrame, max_depth: int) -> DataFrame:
@@ -119,11 +186,11 @@ def watch(
             return
         spark_changes = changes.where(F.col("namespace").isNotNull() | F.col("addedVertices").isNotNull() | F.col("removedVertexCids").isNotNull() | F.col("addedEdges").isNotNull() | F.col("removedEdges").isNotNull()).persist()
         try:
-            v0, e0 = state.tables()
-            v1, e1 = apply_changes(v0, e0, spark_changes)
+            _, e0 = state.tables()
+            v1, e1 = state.prepare(n, spark_changes)
             if deliver is not None:
                 deliver(n, v1, e1, affected_roots(spark_changes, e0, e1, max_depth))
-            state.commit(n, v1, e1)
+            state.commit(n)
         finally:
             spark_changes.unpersist()
 
@@ -131,6 +198,26 @@ def watch(
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def supervise(start: Callable[[], StreamingQuery], retries: int = 5, wait: float = 1.0) -> int:
+    """Runs a stream to its end, starting it again from its checkpoint when it fails; returns how often that was needed.
+
+    The state isn't touched in between. The failure is raised after `retries` starts in a row without progress.
+    """
+    failures, last, restarts = 0, -2, 0
+    while True:
+        q = start()
+        try:
+            q.awaitTermination()
+            return restarts
+        except StreamingQueryException:
+            batch = (q.lastProgress or {}).get("batchId", -1)
+            failures = 1 if batch > last else failures + 1
+            last, restarts = max(last, batch), restarts + 1
+            if failures > retries:
+                raise
+            time.sleep(wait)
+
+
 def windowed_counts(stream: DataFrame, at: str, key: str, width: str, late: str, slide: str | None = None) -> DataFrame:
     """Counts and sums per window and key with a watermark: the native operators, for streams and tables alike."""
     d = stream.withWatermark(at, late) if stream.isStreaming else stream
