@@ -115,3 +115,19 @@ def keccak256(data: bytes) -> bytes:
             s[k % 5][k // 5] ^= int.from_bytes(padded[i + 8 * k : i + 8 * k + 8], "little")
         permute()
     return b"".join(s[k % 5][k // 5].to_bytes(8, "little") for k in range(4))
+
+
+def norm_hex(text: str) -> str:
+    """Lower case with a leading 0x."""
+    return "0x" + text.lower().removeprefix("0x")
+
+
+def name_hash(name: str) -> str:
+    """Keccak-256 of a name's UTF-8, in hexadecimal."""
+    return "0x" + keccak256(name.encode()).hex()
+
+
+def resource_id(owner: str, schema_id: str, name: str, hashed: bool = False) -> str:
+    """Keccak-256 of owner (20 bytes), schema (32) and name hash (32), each filled up with zeros at its front."""
+    sized = ((owner, 20), (schema_id, 32), (name if hashed else name_hash(name), 32))
+    return "0x" + keccak256(b"".join(int(norm_hex(v), 16).to_bytes(32, "big")[-n:] for v, n in sized)).hex()

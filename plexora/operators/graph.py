@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -126,6 +127,14 @@ class Profile:
     node_cap: int = 1000
 
 
+def load_profiles(text: str) -> dict[str, Profile]:
+    """Profiles by name of a JSON object {name: {root, include, content_fields, max_depth, label_cap, node_cap}}; the name
+    is the root's type where none is given. Unknown keys raise."""
+    return {name: Profile(**{"root": name, **spec}) for name, spec in json.loads(text).items()}
+
+
+#: Most types that get a profile each.
+MAX_TYPES = 10_000
 #: Fields that give a node's text, after a profile's own, and then those that give its label.
 CONTENT_FIELDS = ("body", "summary", "description")
 LABEL_FIELDS = ("title", "name", "label")
@@ -141,8 +150,10 @@ def profiles_of(nodes: DataFrame, named: Mapping[str, Profile] | None = None, wa
     """Profiles by name (whatever the case) or by literal type; none wanted: one for each type there is, in order."""
     named = {k.casefold(): v for k, v in (named or {}).items()}
     if not wanted:
-        types = nodes.where(F.col("entity_type").isNotNull()).select("entity_type").distinct().orderBy("entity_type").limit(10_000).collect()
-        wanted = [r[0] for r in types]
+        types = nodes.where(F.col("entity_type").isNotNull()).select("entity_type").distinct().limit(MAX_TYPES + 1).collect()
+        if len(types) > MAX_TYPES:
+            raise ValueError(f"more than {MAX_TYPES} types: name the profiles that are wanted")
+        wanted = sorted(r[0] for r in types)
     return [named.get(w.casefold(), Profile(w)) for w in wanted]
 
 
@@ -206,6 +217,19 @@ def capped_neighbors(edges: DataFrame, seeds: DataFrame, cap: int) -> DataFrame:
     return e.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap)
 
 
+def degrees(edges: DataFrame, node: str = "src", other: str = "dst") -> DataFrame:
+    """node, n: how many different others each node has an edge to."""
+    return edges.where(F.col(node).isNotNull()).groupBy(node).agg(F.count_distinct(other).alias("n"))
+
+
+def seed_counts(nodes: DataFrame, score: Column, least: float, targets: Mapping[str, int]) -> DataFrame:
+    """entity_type, passing, seeds: how many nodes of each type score at least `least`, and how many of them would be
+    seeds, at most the type's target (0 or none: all)."""
+    passing = nodes.groupBy("entity_type").agg(F.sum(F.when(score >= least, 1).otherwise(0)).alias("passing"))
+    target = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])[F.col("entity_type")] if targets else F.lit(None).cast("int")
+    return passing.select("entity_type", "passing", F.when(target > 0, F.least("passing", target)).otherwise(F.col("passing")).alias("seeds"))
+
+
 def subgraph(nodes: DataFrame, edges: DataFrame, score: Column, per_type: int, cap: int) -> DataFrame:
     """id, is_seed: the best nodes of each type by score, and their first neighbours."""
     w = Window.partitionBy("entity_type").orderBy(F.desc("__s"), "id")

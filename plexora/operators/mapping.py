@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plexora.functions import vectors as V
@@ -72,6 +72,13 @@ def map_points(points: DataFrame, id_col: str = "id", vector: str = "embedding",
     return p.select(id_col, F.round(scaled("x"), 5).alias("x"), F.round(scaled("y"), 5).alias("y"))
 
 
+def mean_vectors(points: DataFrame, key: str, vector: str = "embedding", weight: Column | None = None) -> DataFrame:
+    """key, pos, mean: the mean vector of each key, weighted or not, position by position; pre-aggregated in the tasks."""
+    w = F.lit(1.0) if weight is None else weight.cast("double")
+    e = points.where(F.col(vector).isNotNull()).select(key, w.alias("__w"), F.posexplode(vector).alias("pos", "x"))
+    return e.groupBy(key, "pos").agg((F.sum(F.col("x").cast("double") * F.col("__w")) / F.sum("__w")).alias("mean"))
+
+
 def label_centroids(points: DataFrame, label: str, least: int = 5, most: int = 40) -> DataFrame:
     """label, x, y, n: mean places of labels with at least `least` points; the `most` largest."""
     g = points.where(F.col(label).isNotNull() & F.col("x").isNotNull()).groupBy(label).agg(

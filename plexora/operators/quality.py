@@ -54,6 +54,19 @@ def track_tier(popularity: Column, votes: Column, code: Column, status: Column,
     return F.when(p >= marquee, "high").when(mid, "mid").when((p > 0) | (v >= floor), "low").otherwise("reject")
 
 
+def seed_score(rating: Column | None, votes: Column | None, w_rating: float = 1.0, w_votes: float = 1.0) -> Column:
+    """Weighted rating plus weighted logarithm of the votes, of the signals that there are; 0 without any."""
+    zero = F.lit(0.0)
+    parts = [w_rating * F.coalesce(rating.cast("double"), zero)] if rating is not None else []
+    parts += [w_votes * F.log(1 + F.coalesce(votes.cast("double"), zero))] if votes is not None else []
+    return sum(parts, zero)
+
+
+def labels_and_year(rows: DataFrame, key: str, label: str, year: str) -> DataFrame:
+    """key, labels (different names, in order, joined by commas), year (the earliest)."""
+    return rows.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(label)), ", ").alias("labels"), F.min(year).alias("year"))
+
+
 TIERS = ("high", "mid", "low", "reject")
 
 

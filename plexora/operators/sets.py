@@ -94,3 +94,16 @@ def sticky_upsert(old: DataFrame, new: DataFrame, key: str, keep_old: Sequence[s
         else:
             pick.append(F.when(had, b).otherwise(a).alias(c))
     return j.select(*pick)
+
+
+def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """key, side: every key of two sets, in `both`, only `left` or only `right`. Null keys are in no set."""
+    one = lambda d, c: d.where(F.col(key).isNotNull()).select(key).distinct().withColumn(c, F.lit(True))
+    j = one(left, "l").join(one(right, "r"), key, "full_outer")
+    return j.select(key, F.when(F.col("l") & F.col("r"), "both").when(F.col("l"), "left").otherwise("right").alias("side"))
+
+
+def removed_points(removed: DataFrame, blobs: DataFrame, point_id: Column) -> DataFrame:
+    """point_id, each once: the points of the records (in blobs, by uri) whose blobs are removed (uri)."""
+    hit = blobs.join(removed.select("uri").distinct(), "uri", "left_semi")
+    return hit.select(point_id.alias("point_id")).where(F.col("point_id").isNotNull()).distinct()

@@ -9,14 +9,14 @@ import math
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexora.functions import embedding, identity, text
 from plexora.functions import vectors as V
 from plexora.functions.geo import latlon
 from plexora.operators import analytics as A
-from plexora.operators import discover, flow, graph, mapping, matching, quality, search, sets, spatial
+from plexora.operators import discover, flow, graph, mapping, matching, quality, search, sets, spatial  # noqa: F401
 from plexora.scale import shared_dir
 from plexora.tables import table
 
@@ -62,8 +62,8 @@ def agg_distinct_nulls(spark: SparkSession, d: str) -> DataFrame:
 @q("SELECT o_custkey, round(sum(o_totalprice), 2) AS spent, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY spent DESC, o_custkey LIMIT 20")
 def top_groups(spark: SparkSession, d: str) -> DataFrame:
     """Descending order by a measure, with a limit."""
-    out = A.aggregate(table(spark, d, "orders"), "o_custkey", {"spent": "sum:o_totalprice", "n": "count"})
-    return out.withColumn("spent", F.round("spent", 2)).orderBy(F.desc("spent"), "o_custkey").limit(20)
+    out = A.aggregate(table(spark, d, "orders"), "o_custkey", {"spent": "sum:o_totalprice", "n": "count"}, order_by="-spent", limit=20)
+    return out.withColumn("spent", F.round("spent", 2))
 
 
 @q("SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 50 AND CAST(json_extract(props, '$.k') AS BIGINT) <> 60 GROUP BY ALL")
@@ -186,8 +186,7 @@ def vec_many_queries(spark: SparkSession, d: str) -> DataFrame:
 @q("SELECT label, i - 1 AS pos, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean FROM embeddings, range(1, 65) t(i) GROUP BY label, i")
 def centroid_by_label(spark: SparkSession, d: str) -> DataFrame:
     """Mean vectors, position by position."""
-    e = _points(spark, d).select("label", F.posexplode("embedding").alias("pos", "x"))
-    return e.groupBy("label", "pos").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+    return mapping.mean_vectors(_points(spark, d), "label").withColumn("mean", F.round("mean", 6))
 
 
 @q("SELECT vec_id AS id, round(list_dot_product(v[1:16], v[1:16]), 4) AS sq, round(v[1] / sqrt(list_dot_product(v[1:16], v[1:16])), 5) AS first FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: (x - list_avg(CAST(embedding AS DOUBLE[]))) / sqrt(list_var_pop(CAST(embedding AS DOUBLE[])) + 1e-5)) AS v FROM embeddings)")
@@ -222,7 +221,7 @@ def paged(spark: SparkSession, d: str) -> DataFrame:
 def session_rank(spark: SparkSession, d: str) -> DataFrame:
     """Likes and dislikes, the heading, and re-ranking with taste and avoidance."""
     p = _points(spark, d)
-    pick = {r["id"]: list(r["embedding"]) for r in p.where(F.col("id").isin(1, 2, 3, 4)).collect()}
+    pick = {i: search.vector_of(p, i) for i in (1, 2, 3, 4)}
     s = search.build_session([(pick[1], ["label 1"]), (pick[2], ["label 2"]), (pick[3], ["label 1"])], [(pick[4], ["label 4"])])
     c = p.withColumn("tags", F.array(F.concat(F.lit("label "), F.col("label").cast("string"))))
     c = c.withColumn("base_score", V.cosine(F.col("embedding"), V.literal(search.session_query(s) or [])))
@@ -479,13 +478,6 @@ def filtered_places(spark: SparkSession, d: str) -> DataFrame:
     return p.where(discover.matches(p, f, datetime(2025, 6, 1, 12))).select("id")
 
 
-@q("SELECT eventid FROM (SELECT DISTINCT eventid, startdate, isfree, ispast, locality FROM place_events) WHERE coalesce(isfree, true) AND NOT coalesce(ispast, false) AND (startdate IS NULL OR substr(startdate, 1, 10) BETWEEN '2025-06-07' AND '2025-06-08')")
-def filtered_events(spark: SparkSession, d: str) -> DataFrame:
-    """free, upcoming, on the weekend of a given day."""
-    e = table(spark, d, "place_events").select("eventid", F.col("startdate").alias("start_date"), F.col("isfree").alias("is_free"), F.col("ispast").alias("is_past"), "locality").distinct()
-    return e.where(discover.matches(e, discover.Filters(free_only=True, upcoming_only=True, date_window="weekend"), datetime(2025, 6, 4))).select("eventid")
-
-
 @q("SELECT mbid AS id, lat, lon FROM (SELECT mbid, TRY_CAST(split_part(coordinates, ',', 1) AS DOUBLE) AS lat, TRY_CAST(split_part(coordinates, ',', 2) AS DOUBLE) AS lon FROM (SELECT DISTINCT mbid, coordinates FROM mb_places) WHERE regexp_full_match(coordinates, '-?[0-9.]+,-?[0-9.]+')) WHERE abs(lat) <= 90 AND abs(lon) <= 180 AND NOT (lat = 0 AND lon = 0)")
 def parsed_coordinates(spark: SparkSession, d: str) -> DataFrame:
     """D19 on the plain notation."""
@@ -500,14 +492,6 @@ def parsed_coordinates_all(spark: SparkSession, d: str) -> DataFrame:
     return m.select(F.col("mbid").alias("id"), latlon(F.col("coordinates")).alias("p")).where("p IS NOT NULL").select("id", "p.lat", "p.lon")
 
 
-@q("WITH c AS (SELECT localityid AS id, CAST(split_part(coordinates, ',', 1) AS DOUBLE) AS lat, CAST(split_part(coordinates, ',', 2) AS DOUBLE) AS lon FROM localities WHERE coordinates IS NOT NULL), p AS (SELECT place_id AS id, arg_max(payload, fetched_at) AS payload FROM places_raw WHERE json_valid(payload) GROUP BY place_id), l AS (SELECT id, CAST(json_extract(payload, '$.location.latitude') AS DOUBLE) AS lat, CAST(json_extract(payload, '$.location.longitude') AS DOUBLE) AS lon FROM p), d AS (SELECT l.id, 2 * 6371000 * asin(sqrt(least(1, pow(sin(radians(c.lat - l.lat) / 2), 2) + cos(radians(l.lat)) * cos(radians(c.lat)) * pow(sin(radians(c.lon - l.lon) / 2), 2)))) AS m FROM l, c WHERE l.lat IS NOT NULL AND l.lon IS NOT NULL) SELECT id, round(min(m), 3) AS metres, CASE WHEN min(m) <= 200 THEN 'on' ELSE 'near' END AS tag FROM d GROUP BY id HAVING min(m) <= 800")
-def nearest_anchor(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest anchor within a distance."""
-    a = spatial.located(table(spark, d, "localities"), "localityid")
-    p = _places(spark, d).where("lat IS NOT NULL AND lon IS NOT NULL").select("id", "lat", "lon")
-    return matching.nearest_anchor(p, a)
-
-
 @q()
 def sameas_links(spark: SparkSession, d: str) -> DataFrame:
     """Fuzzy one-to-one links between businesses and music places."""
@@ -660,12 +644,10 @@ def companion_joins(spark: SparkSession, d: str) -> DataFrame:
 @q("SELECT l_suppkey AS seed, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY l_suppkey")
 def degree(spark: SparkSession, d: str) -> DataFrame:
     """Distinct ids and their frequency."""
-    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("seed")).agg(F.count_distinct("l_partkey").alias("n"))
+    return graph.degrees(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("seed"), "l_partkey"), "seed", "l_partkey")
 
 
 @q("SELECT o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS place, o_orderkey, CAST(floor((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) / 500) AS BIGINT) AS shard FROM orders")
 def rolled_shards(spark: SparkSession, d: str) -> DataFrame:
     """Rows rolled into parts of a fixed size within each group."""
-    w = Window.partitionBy("o_orderstatus").orderBy("o_orderkey")
-    o = table(spark, d, "orders").select("o_orderstatus", "o_orderkey", (F.row_number().over(w) - 1).alias("place"))
-    return o.withColumn("shard", F.floor(F.col("place") / 500))
+    return quality.roll(table(spark, d, "orders").select("o_orderstatus", "o_orderkey"), "o_orderstatus", ["o_orderkey"], 500)

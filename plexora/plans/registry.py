@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plexora.plans import catalog, problems, problems_sql
+from plexora.plans import catalog, coverage, problems, problems_sql
 
 FLAGSHIP = "agg_group_measures"
 
+# the queries of coverage are registered beside those of catalog
+assert coverage.q is catalog.q
 _MODULES = [(catalog.QUERIES, catalog.SQL), (problems.QUERIES, problems_sql.SQL)]
 
 
