@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plexora.scale import salted_join, stage
+
 _WORD = re.compile(r"[^\W_]+")
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
 #: Most n-grams of test items that are broadcast; 13 words of some 8 letters are about 100 bytes each.
@@ -56,42 +60,85 @@ def word_spans(text: str) -> list[tuple[str, int, int]]:
     return [(m.group(), place[m.start()][0], place[m.end() - 1][1]) for m in _WORD.finditer("".join(chars))]
 
 
+#: Base of the polynomial hash of an n-gram, modulo 2 ** 64, and words that are hashed at once.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_CHUNK_WORDS = 500_000
+
+
+def _window_hashes(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n numbers from each place of `at` on."""
+    out, power = np.zeros(len(at), np.uint64), np.uint64(1)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            out += ids[at + j] * power
+            power *= _BASE
+    return out
+
+
 class TestGrams:
-    """The n-grams of the test items: a set of words to skip by, and items by n-gram."""
+    """The n-grams of the test items: numbers of their words, hashes to look windows up by, and items by n-gram."""
 
     __test__ = False
 
-    def __init__(self, items: list[tuple[str, str]], n: int):
+    def __init__(self, items: Iterable[tuple[str, str]], n: int):
         self.n = n
-        self.items: dict[tuple[str, ...], tuple[str, ...]] = {}
         found: dict[tuple[str, ...], set[str]] = {}
         for item, text in items:
             w = words(text)
             for i in range(len(w) - n + 1):
                 found.setdefault(tuple(w[i : i + n]), set()).add(item)
         self.items = {k: tuple(sorted(v)) for k, v in found.items()}
-        self.vocabulary = {x for g in self.items for x in g}
+        self.number = {x: i + 1 for i, x in enumerate(sorted({x for g in self.items for x in g}))}
+        ids = np.array([self.number[x] for g in self.items for x in g], np.uint64)
+        self.hashes = np.unique(_window_hashes(ids, np.arange(len(self.items)) * n, n))
+
+    def hits_of(self, docs: Sequence[list[str]]) -> Iterator[tuple[int, int, tuple[str, ...]]]:
+        """document, start, items of the windows that are test n-grams; each hit is verified word by word.
+
+        All windows of known words are hashed at once, and looked up by binary search.
+        """
+        if not self.items:
+            return
+        i = 0
+        while i < len(docs):
+            first, size = i, 0
+            while i < len(docs) and (size == 0 or size < _CHUNK_WORDS):
+                size += len(docs[i]) + 1
+                i += 1
+            part, get = docs[first:i], self.number.get
+            ids = np.fromiter((x for w in part for x in (*(get(y, 0) for y in w), 0)), np.uint64, size)
+            known = np.concatenate([[0], np.cumsum(ids > 0)])
+            at = np.nonzero(known[self.n :] - known[: -self.n] == self.n)[0] if size >= self.n else np.zeros(0, int)
+            if not len(at):
+                continue
+            h = _window_hashes(ids, at, self.n)
+            pos = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            at = at[self.hashes[pos] == h]
+            starts = np.cumsum([0, *(len(w) + 1 for w in part)])
+            for k, d in zip(at.tolist(), (np.searchsorted(starts, at, "right") - 1).tolist()):
+                k -= int(starts[d])
+                if (its := self.items.get(tuple(part[d][k : k + self.n]))) is not None:
+                    yield first + d, k, its
 
     def hits(self, w: list[str]) -> list[tuple[int, tuple[str, ...]]]:
-        """Starts of windows that are test n-grams, with the items. Only runs of known words are windowed."""
-        n, known, out, start = self.n, self.vocabulary, [], 0
-        for i, x in enumerate([*w, None]):
-            if x in known:
-                continue
-            for k in range(start, i - n + 1):
-                if (its := self.items.get(tuple(w[k : k + n]))) is not None:
-                    out.append((k, its))
-            start = i + 1
-        return out
+        """Starts of one text's windows that are test n-grams, with the items."""
+        return [(k, its) for _, k, its in self.hits_of([w])]
 
 
 def _collect_items(items: DataFrame, key: str, text: str, n: int) -> list[tuple[str, str]] | None:
-    """The test items for the driver if their n-grams are few enough, else None. Counted without fetching them."""
-    many = items.select(F.sum(F.greatest(F.lit(0), F.size(F.split(F.coalesce(text, F.lit("")), r"[\s\p{P}]+")) - (n - 1)))).first()[0] or 0
-    if many > MAX_BROADCAST_GRAMS:
+    """The test items that have n words for the driver, if their n-grams are few enough, else None. Counted in the tasks,
+    by the words that n-grams are made of, without fetching anything."""
+
+    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            grams = [max(0, len(words(t)) - n + 1) for t in pdf[text]]
+            yield pdf.assign(__n=grams)[[g > 0 for g in grams]]
+
+    kept = items.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).distinct()
+    kept = stage(kept.mapInPandas(count, f"`{key}` {items.schema[key].dataType.simpleString()}, `{text}` string, __n bigint"), "test-items")
+    if (kept.agg(F.sum("__n")).first()[0] or 0) > MAX_BROADCAST_GRAMS:
         return None
-    rows = items.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).distinct().collect()
-    return [(r[0], r[1]) for r in rows]
+    return [(r[0], r[1]) for r in kept.collect()]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, n: int = 13, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
@@ -104,47 +151,58 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = 13, doc: str = "doc_i
     pairs = _collect_items(items, item, text, n)
     out = f"`{doc}` {docs.schema[doc].dataType.simpleString()}, `{item}` {items.schema[item].dataType.simpleString()}"
     base = docs.where(F.col(doc).isNotNull() & F.col(text).isNotNull()).select(doc, text)
+    grams = None if pairs is None else docs.sparkSession.sparkContext.broadcast(TestGrams(pairs, n))
+    own = [] if pairs is not None else ["__g"]
     if pairs is None:
-        return _find_by_shuffle(base, items, n, doc, item, text)
-    grams = docs.sparkSession.sparkContext.broadcast(TestGrams(pairs, n))
+        base = _with_own_grams(base, items, n, item, text).where(F.col("__g").isNotNull()).select(doc, text, "__g")
 
     def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = grams.value
         for pdf in it:
-            ids, its = [], []
-            for d, t in zip(pdf[doc], pdf[text]):
-                for x in {x for _, xs in g.hits(words(t)) for x in xs}:
-                    ids.append(d)
-                    its.append(x)
-            if ids:  # an empty column has no type
-                yield pd.DataFrame({doc: ids, item: its})
+            ws, ids = [words(t) for t in pdf[text]], pdf[doc].tolist()
+            if own:
+                found = {(ids[i], x) for i, w in enumerate(ws) for _, xs in _grams_of(pdf["__g"].iloc[i], n).hits(w) for x in xs}
+            else:
+                found = {(ids[d], x) for d, _, xs in grams.value.hits_of(ws) for x in xs}
+            if found:  # an empty column has no type
+                yield pd.DataFrame(list(found), columns=[doc, item])
 
     return base.mapInPandas(scan, out).distinct()
 
 
-def _gram_rows(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+def _grams_of(own: Sequence | None, n: int) -> TestGrams:
+    """The test n-grams that a text was joined with."""
+    return TestGrams([(x, g["gram"]) for g in (own if own is not None else ()) for x in g["its"]], n)
+
+
+def _gram_rows(df: DataFrame, key: str, text: str, n: int, with_gram: bool) -> DataFrame:
+    """key, h and, if asked for, gram: the different n-grams of each text by a hash of 64 bits."""
     kind = df.schema[key].dataType.simpleString()
 
     def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            keys: list = []
-            grams: list[str] = []
             for k, t in zip(pdf[key].tolist(), pdf[text].tolist()):
                 w = words(t)
-                g = {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
-                keys += [k] * len(g)
-                grams += g
-            if keys:  # an empty column has no type
-                yield pd.DataFrame({"k": keys, "gram": grams}).rename(columns={"k": key})
+                if len(w) < n:
+                    continue
+                ids = np.array([xxhash.xxh3_64_intdigest(x) for x in w], np.uint64)
+                h, first = np.unique(_window_hashes(ids, np.arange(len(w) - n + 1), n).view(np.int64), return_index=True)
+                rows = pd.DataFrame({"k": [k] * len(h), "h": h}).rename(columns={"k": key})
+                yield rows.assign(gram=[" ".join(w[i : i + n]) for i in first]) if with_gram else rows
 
-    return df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).mapInPandas(cut, f"`{key}` {kind}, gram string")
+    return df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).mapInPandas(cut, f"`{key}` {kind}, h bigint" + ", gram string" * with_gram)
 
 
-def _find_by_shuffle(docs: DataFrame, items: DataFrame, n: int, doc: str, item: str, text: str) -> DataFrame:
-    """The same by an equi-join on the n-grams; a gram of very many documents is thinned to the items it stands for first."""
-    g = _gram_rows(docs, doc, text, n)
-    t = _gram_rows(items, item, text, n).groupBy("gram").agg(F.collect_set(item).alias("its"))
-    return g.join(t, "gram").select(doc, F.explode("its").alias(item)).distinct()
+def _with_own_grams(docs: DataFrame, items: DataFrame, n: int, item: str, text: str) -> DataFrame:
+    """docs with __g, the test n-grams (gram, its) whose hashes a text has; null if none.
+
+    An equi-join on hashes of 64 bits, of each different text once; a gram of very many texts is split over several tasks.
+    """
+    base = docs.withColumn("__k", F.sha2(text, 256))
+    g = _gram_rows(base.select("__k", text).dropDuplicates(["__k"]), "__k", text, n, False)
+    t = _gram_rows(items, item, text, n, True).groupBy("h", "gram").agg(F.collect_set(item).alias("its"))
+    t = t.groupBy("h").agg(F.collect_list(F.struct("gram", "its")).alias("own"))
+    hits = salted_join(g, t, "h", "inner", ["__k"]).groupBy("__k").agg(F.flatten(F.collect_list("own")).alias("__g"))
+    return base.join(hits, "__k", "left").drop("__k")
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame, n: int = 13, drop_share: float = 0.5, doc: str = "doc_id", item: str = "item_id", text: str = "text") -> DataFrame:
@@ -154,38 +212,22 @@ def remove_leaks(docs: DataFrame, items: DataFrame, n: int = 13, drop_share: flo
     other documents keep every character outside the spans. Null texts stay null.
     """
     pairs = _collect_items(items, item, text, n)
-    if pairs is None:
-        return _remove_by_shuffle(docs, items, n, drop_share, doc, item, text)
-    grams = docs.sparkSession.sparkContext.broadcast(TestGrams(pairs, n))
-    kind = docs.schema[doc].dataType.simpleString()
-
-    def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = grams.value
-        for pdf in it:
-            rows = []
-            for d, t in zip(pdf[doc], pdf[text]):
-                rows.append((d, *_without_spans(t, g, drop_share)))
-            yield pd.DataFrame(rows, columns=[doc, text, "removed_words", "dropped"])
-
-    return docs.select(doc, text).mapInPandas(cut, f"`{doc}` {kind}, `{text}` string, removed_words int, dropped boolean")
-
-
-def _remove_by_shuffle(docs: DataFrame, items: DataFrame, n: int, drop_share: float, doc: str, item: str, text: str) -> DataFrame:
-    """The same with the test n-grams of each text joined back to it, by the text's hash, as ids may be null or repeated."""
-    kind = docs.schema[doc].dataType.simpleString()
-    base = docs.select(F.col(doc), F.col(text), F.sha2(text, 256).alias("__k"))
-    g = _gram_rows(base.select("__k", text).dropDuplicates(["__k"]), "__k", text, n)
-    hits = g.join(_gram_rows(items, item, text, n).select("gram").distinct(), "gram").groupBy("__k").agg(F.collect_list("gram").alias("__g"))
+    grams = None if pairs is None else docs.sparkSession.sparkContext.broadcast(TestGrams(pairs, n))
+    base, kind, joined = docs.select(doc, text), docs.schema[doc].dataType.simpleString(), pairs is None
+    if joined:
+        base = _with_own_grams(base, items, n, item, text).select(doc, text, "__g")
 
     def cut(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
+            ws = [words(t) for t in pdf[text]]
+            touched = set(range(len(ws))) if joined else {d for d, _, _ in grams.value.hits_of(ws)}
             rows = []
-            for d, t, own in zip(pdf[doc], pdf[text], pdf["__g"]):
-                found = [] if own is None else [("", x) for x in own]
-                rows.append((d, *_without_spans(t, TestGrams(found, n), drop_share)))
+            for i, (d, t) in enumerate(zip(pdf[doc], pdf[text])):
+                g = _grams_of(pdf["__g"].iloc[i], n) if joined else grams.value
+                rows.append((d, *(_without_spans(t, g, drop_share) if i in touched else (t, 0, False))))
             yield pd.DataFrame(rows, columns=[doc, text, "removed_words", "dropped"])
 
-    return base.join(hits, "__k", "left").select(doc, text, "__g").mapInPandas(cut, f"`{doc}` {kind}, `{text}` string, removed_words int, dropped boolean")
+    return base.mapInPandas(cut, f"`{doc}` {kind}, `{text}` string, removed_words int, dropped boolean")
 
 
 def _without_spans(t: str | None, g: TestGrams, drop_share: float) -> tuple[str | None, int, bool]:
