@@ -26,7 +26,7 @@ from plexora.scale import stage
 #: Vectors of the sample that the codebooks are trained on; the sample is bounded, the index holds every vector.
 SAMPLE = 20_000
 #: Most centroids per half.
-MAX_CENTROIDS = 512
+MAX_CENTROIDS = 1024
 #: Entries that a query's cells must hold before its walk ends, and the least number of cells it walks.
 ENTRIES, LEAST_CELLS = 1200, 8
 #: Entries of a shard.
@@ -144,7 +144,7 @@ def similar_pairs(collection: DataFrame, k: int = 5, least: float = 0.85, dim: i
     total = base.count()
     if total == 0:
         return spark.createDataFrame([], "id_a string, id_b string, cosine double")
-    few = base.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, total // SAMPLE))) == 0).select("vec").limit(SAMPLE).collect()
+    few = base.orderBy(F.xxhash64("id", F.lit(1)), "id").select("vec").limit(SAMPLE).collect()  # a heap per task
     sample = np.frombuffer(b"".join(bytes(r[0]) for r in few), np.float32).reshape(-1, dim) if few else np.eye(2, dim, dtype=np.float32)
     books = train_books(sample, total)
     assigned = stage(_assign(_copies(base, k), books, dim), "imi-cells")
@@ -262,6 +262,9 @@ class _Table:
         cell = np.array([c[0] for c in e["cells"]])
         order = cell.argsort(kind="stable")
         self.ids = [list(x) for x in e["ids"].to_numpy()[order]]
+        #: place of each entry's first id in order, which ties go by
+        self.rank = np.empty(len(self.ids), np.int64)
+        self.rank[sorted(range(len(self.ids)), key=lambda i: self.ids[i][0])] = np.arange(len(self.ids))
         self.x = np.frombuffer(b"".join(e["vec"].to_numpy()[order]), np.float32).reshape(-1, dim).astype(np.float64)
         self.x /= np.linalg.norm(self.x, axis=1, keepdims=True)
         cell = cell[order]
@@ -291,7 +294,7 @@ class _Table:
         out: list[tuple[str, str, float]] = []
         if hit_q:
             hq, he, hs = np.concatenate(hit_q), np.concatenate(hit_e), np.concatenate(hit_s)
-            order = np.lexsort((-hs, hq))
+            order = np.lexsort((self.rank[he], -hs, hq))
             ids = q["ids"].to_numpy()
             last, n = -1, 0
             for o in order:
@@ -317,7 +320,9 @@ def _merge(found: DataFrame, k: int) -> DataFrame:
 
     An id that very many others found is thinned before the shuffle by the planner's window group limit.
     """
-    both = found.unionByName(found.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "cosine")).groupBy("id_a", "id_b").agg(F.max("cosine").alias("cosine"))
+    # both directions from one pass; a union of it with its mirror would search twice
+    ends = F.explode(F.array(F.struct("id_a", "id_b"), F.struct(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))).alias("e")
+    both = found.select(ends, "cosine").select("e.*", "cosine").groupBy("id_a", "id_b").agg(F.max("cosine").alias("cosine"))
     w = Window.partitionBy("id_a").orderBy(F.desc("cosine"), "id_b")
     top = both.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
     return top.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "cosine").distinct()
