@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plexora.scale import stage
+from plexora.scale import salted_join, stage
 
 #: Spellings of street types, of directions and of unit labels.
 TYPES = {
@@ -348,7 +348,8 @@ def match_forms(forms: DataFrame, least: float = 0.75) -> DataFrame:
     a = side.select("key", *[F.col(c).alias(f"{c}_a") for c in ("form", "has_place", "tokens", "w", "num", "unit", "dir", "street", "type", "town")])
     b = side.select("key", *[F.col(c).alias(f"{c}_b") for c in ("form", "has_place", "tokens", "w", "num", "unit", "dir", "street", "type", "town")])
     same = lambda c: F.col(f"{c}_a") == F.col(f"{c}_b")
-    p = a.join(b, "key").where((F.col("form_a") < F.col("form_b")) & (F.col("has_place_a") | F.col("has_place_b")))
+    # forms of a key that holds very many are split over several tasks
+    p = salted_join(a, b, "key", "inner", ["form_a"]).where((F.col("form_a") < F.col("form_b")) & (F.col("has_place_a") | F.col("has_place_b")))
     p = p.where(same("num") & same("unit") & same("dir") & same("town") & (same("type") | (F.col("type_a") == "") | (F.col("type_b") == "")))
     weight = lambda ts, m: F.aggregate(ts, F.lit(0.0), lambda acc, t: acc + F.coalesce(m[t], F.lit(0.0)))
     shared = F.array_intersect("tokens_a", "tokens_b")
