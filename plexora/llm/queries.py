@@ -50,6 +50,10 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(p9_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p9_shards(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shard_report(p9_mix(spark, d))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return encodings.find_garbled(table(spark, d, "documents")).select("doc_id")
 
@@ -58,4 +62,4 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return encodings.restore_garbled(table(spark, d, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_confidence": p3_confidence, "p2_found": p2_found, "p10_found": p10_found, "p10_restored": p10_restored, "p4_found": p4_found, "p8_found": p8_found, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_report": p9_report}
+QUERIES = {"p3_found": p3_found, "p3_confidence": p3_confidence, "p2_found": p2_found, "p10_found": p10_found, "p10_restored": p10_restored, "p4_found": p4_found, "p8_found": p8_found, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_report": p9_report, "p9_shards": p9_shards}

@@ -5,11 +5,14 @@ from __future__ import annotations
 import functools
 import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-DEFAULT_VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: Where the vocabulary file lies unless the caller says otherwise.
+DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the usual pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -24,13 +27,7 @@ def encoder(path: str):
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        try:
-            import public_tokenizers
-
-            pattern = public_tokenizers.PATTERN
-        except ImportError:
-            pattern = PATTERN
-        enc = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        enc = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         return lambda texts: [len(enc.encode_ordinary(t)) for t in texts]
     from tokenizers import Tokenizer
 
@@ -40,12 +37,18 @@ def encoder(path: str):
 
 
 def count_tokens(docs: DataFrame, text: str = "text", out: str = "n_tokens", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """Replaces `text` by its size in tokens; null and empty texts have 0. Whole texts are counted."""
+    """Replaces `text` by its size in tokens; null and empty texts have 0. Whole texts are counted.
+
+    The vocabulary file is sent to the executors, so that it need not lie on each of them.
+    """
+    sent = os.path.isfile(vocabulary)
+    if sent:
+        docs.sparkSession.sparkContext.addFile(vocabulary)
     keep = [f for f in docs.schema.fields if f.name != text]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + f", `{out}` bigint"
 
     def work(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = encoder(vocabulary)
+        size = encoder(SparkFiles.get(Path(vocabulary).name) if sent else vocabulary)
         for pdf in it:
             yield pdf.drop(columns=[text]).assign(**{out: size([t or "" for t in pdf[text]])})
 
