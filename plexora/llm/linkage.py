@@ -132,8 +132,10 @@ class Profiles(dict):
 
     def matches(self, odds: dict[tuple[int, ...], float]) -> dict[tuple[int, ...], float]:
         """Expected number of matches of each pattern. One narrow pass; a number per pattern comes to the driver."""
-        known = F.create_map(*[x for code, k in self.codes.items() for x in (F.lit(code), F.lit(float(odds[k])))])
-        weighed = F.transform("p", lambda x: F.struct(x["code"].alias("code"), (x["cnt"] * known[x["code"]]).alias("w")))
+        # an array by code, which is looked up in one step; a map would be searched through for every entry
+        held = [repr(float(odds[self.codes[c]])) + "D" if c in self.codes else "0D" for c in range(max(self.codes) + 1)]
+        known = F.expr(f"array({', '.join(held)})")
+        weighed = F.transform("p", lambda x: F.struct(x["code"].alias("code"), (x["cnt"] * F.get(known, x["code"])).alias("w")))
         d = self.profiles.select("n", weighed.alias("p"))
         d = d.select("n", "p", (1 + F.aggregate("p", F.lit(0.0), lambda s, x: s + x["w"])).alias("z"))
         d = d.select("n", "z", F.explode("p").alias("x")).groupBy("x.code").agg(F.sum(F.col("n") * F.col("x.w") / F.col("z")).alias("m"))
