@@ -307,10 +307,10 @@ def _evidence(odd: DataFrame, model: CharModel) -> DataFrame:
             texts = [list(ws) for ws in pdf["ws"]]
             judge.learn([w for ws in texts for w in ws])
             ev = [[{"chain": _chain_key(c), "gain": g, "a": a, "b": b} for c, (g, a, b) in judge.record(ws).items()] for ws in texts]
-            out = pdf.assign(ev=ev)
+            out = pdf.assign(odd=np.array([len(ws) for ws in texts], np.int32), ev=ev)
             yield out[[bool(e) or bool(lost) for e, lost in zip(ev, pdf["lost"])]]
 
-    return odd.mapInPandas(work, f"doc {kind}, field string, source string, pool string, ws array<string>, lost boolean, ev {_EVIDENCE}")
+    return odd.mapInPandas(work, f"doc {kind}, field string, source string, pool string, ws array<string>, lost boolean, odd int, ev {_EVIDENCE}")
 
 
 def _odds(ev: DataFrame, pri: DataFrame | None) -> DataFrame:
@@ -319,7 +319,7 @@ def _odds(ev: DataFrame, pri: DataFrame | None) -> DataFrame:
     if pri is not None:
         ev = ev.join(pri.select("pool", "lps"), "pool", "left")
         lp = lambda x: F.coalesce(F.col("lps")[x["chain"]], F.lit(math.log(FIRST_PRIOR / 100)))
-    place = F.log(F.size("ws").cast("double"))
+    place = F.log(F.col("odd").cast("double"))  # not the size of ws, so that rounds needn't read the words
     ev = ev.withColumn("o", F.transform("ev", lambda x: F.exp(F.least(F.lit(500.0), lp(x) + x["gain"] - place))))
     return ev.withColumn("z", 1 + F.aggregate("o", F.lit(0.0), lambda s, x: s + x))
 
@@ -337,10 +337,10 @@ def estimate_priors(ev: DataFrame, sizes: DataFrame, start: DataFrame | None = N
         e = _odds(ev, pri)
         was = F.col("lps")[F.col("x.chain")] if pri is not None else F.lit(None).cast("double")
         e = e.select("pool", *(["lps"] if pri is not None else []), F.explode(F.arrays_zip(F.col("ev.chain").alias("chain"), F.transform("o", lambda x: x / F.col("z")).alias("w"))).alias("x"))
-        mass = stage(e.groupBy("pool", F.col("x.chain").alias("chain")).agg(F.sum("x.w").alias("m"), F.max(was).alias("was")), "encoding-mass")
+        mass = e.groupBy("pool", F.col("x.chain").alias("chain")).agg(F.sum("x.w").alias("m"), F.max(was).alias("was"))
         back = mass.groupBy("chain").agg(F.sum("m").alias("back"))
         share = (F.col("m") + 20 * (F.col("back") + 1e-3) / (n_all + 1)) / (F.col("n") + 20)
-        rows = mass.join(back, "chain").join(sizes, "pool").select("pool", "chain", F.log(share).alias("lp"), "was", "m")
+        rows = stage(mass.join(back, "chain").join(sizes, "pool").select("pool", "chain", F.log(share).alias("lp"), "was", "m"), "encoding-mass")
         moved = rows.where(F.col("m") > 0.5).agg(F.max(F.abs(F.col("lp") - F.coalesce("was", F.lit(0.0))))).first()[0]
         pri = rows.groupBy("pool").agg(F.map_from_entries(F.collect_list(F.struct("chain", "lp"))).alias("lps"))
         if (moved or 0.0) <= change:
