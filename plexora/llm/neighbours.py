@@ -144,7 +144,9 @@ def similar_pairs(collection: DataFrame, k: int = 5, least: float = 0.85, dim: i
     total = base.count()
     if total == 0:
         return spark.createDataFrame([], "id_a string, id_b string, cosine double")
-    few = base.orderBy(F.xxhash64("id", F.lit(1)), "id").select("vec").limit(SAMPLE).collect()  # a heap per task
+    # some two samples' worth by one hash, of which another one's order takes SAMPLE: few rows, whatever the table's size
+    some = base.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, total // (2 * SAMPLE)))) == 0)
+    few = some.orderBy(F.xxhash64("id", F.lit(2)), "id").select("vec").limit(SAMPLE).collect()
     sample = np.frombuffer(b"".join(bytes(r[0]) for r in few), np.float32).reshape(-1, dim) if few else np.eye(2, dim, dtype=np.float32)
     books = train_books(sample, total)
     assigned = stage(_assign(_copies(base, k), books, dim), "imi-cells")
